@@ -25,6 +25,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a narrow table of chosen ids is broadcast.
+FEW_ROWS = 200_000
+
+
+def few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """df, written, with the hint to broadcast it if it has no more rows than `most`; a larger one is left to a shuffled join."""
+    df = written(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and root, the smallest node of its component, for the ends of the edges (a, b); roots are left out.
 
