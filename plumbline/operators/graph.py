@@ -130,7 +130,7 @@ def cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         if not size:
             return out
         if size <= CORE_EDGES:
-            return out.union(live.groupBy(F.lit(1)).applyInArrow(_strong, "node string"))
+            return out.union(live.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_strong, "node string"))
 
         def recolour(c: DataFrame, e: DataFrame = live) -> DataFrame:
             sent = c.select(F.col("node").alias("src"), "colour").join(e, "src").select(F.col("dst").alias("node"), "colour")
