@@ -94,6 +94,8 @@ def _lines(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     brk = np.flatnonzero(cp == 10)
     a = np.union1d(starts[:-1], brk + 1)
     a = a[a < len(cp)]
+    if not len(a):
+        return a, a, a
     b = np.concatenate((a[1:], [len(cp)])).astype(np.int64)
     b = b - (cp[b - 1] == 10)
     full = b > a
