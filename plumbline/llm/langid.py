@@ -65,8 +65,7 @@ def grams(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     solid = code != 32
     keep = solid.copy()
     keep[1:] |= solid[:-1]
-    if len(keep):
-        keep[0] = True
+    keep[starts[:-1] + 2 * np.arange(n)] = True
     code, row = code[keep], row[keep]
     out, rows = [], []
     packed = code.copy()
