@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm import kernel
+from plumbline.llm import cluster, kernel
 
 SIZES = (3, 4)
 
@@ -147,7 +147,7 @@ def labelled_sample(docs: DataFrame, label: str = "lang", per_language: int = 40
     """The training rows: of each label the `per_language` with the smallest hash of doc_id. The sample's size is bounded by these parameters and the number of labels."""
     order = Window.partitionBy("l").orderBy("h", "d")
     rows = docs.select(F.col(label).cast("string").alias("l"), F.xxhash64(F.col("doc_id")).alias("h"), F.col("doc_id").alias("d")).where("l is not null")
-    chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("d").distinct()
+    chosen = cluster.few(rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("d").distinct())
     texts = docs.select(F.col(label).cast("string").alias("l"), F.col("doc_id").alias("d"), F.substring(F.col("text").cast("string"), 1, max_chars).alias("t"))
     got = texts.where("l is not null and t is not null").join(chosen, "d", "left_semi").select("l", "t", "d").collect()
     return [(r[0], r[1]) for r in sorted(got, key=lambda r: (r[0], r[2] if r[2] is not None else -1, r[1]))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from plumbline.operators import types
@@ -44,6 +45,16 @@ class Facts:
         for i, t in enumerate(self.types.values()):
             parts = [*(f"{n}: {x}" for n, x in t.fields), *t.variants]
             out.append(("types", i, t.name, f"{t.kind} {{{', '.join(parts)}}}" + "".join(f" +{x}" for x in t.derives + t.trait_impls)))
+        methods: dict[str, list[str]] = {}
+        for f in self.public_functions + self.private_functions:
+            owner, dot, method = f.partition(".")
+            if dot:
+                methods.setdefault(owner, []).append(method)
+        for i, t in enumerate(self.types.values()):
+            info = {"kind": t.kind, "fields": [{"name": n, "type": x} for n, x in t.fields], "variants": t.variants, "trait_impls": t.trait_impls, "derives": t.derives, "methods": methods.get(t.name, [])}
+            out.append(("type_info", i, t.name, json.dumps(info)))
+        for i, (name, (params, result)) in enumerate(self.functions.items()):
+            out.append(("function_info", i, name, json.dumps({"params": [{"name": n, "type": x} for n, x in params], "return_type": result})))
         return out
 
 
