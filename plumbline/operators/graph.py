@@ -163,16 +163,17 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
         seen = seen.unionByName(front)
 
 
-def dep_tree(edges: DataFrame, roots: DataFrame, most_depth: int = 8) -> DataFrame:
-    """path (names joined by ' > ') and depth of every way down from the roots, repeated subtrees in full, as a recursive query; meant for shallow graphs."""
-    spark = edges.sparkSession
-    query = f"""
-        with recursive tree(node, path, depth) as (
-            select node, node, 0 from {{roots}}
-            union all
-            select e.dst, concat(t.path, ' > ', e.dst), t.depth + 1 from tree t join {{edges}} e on t.node = e.src where t.depth < {int(most_depth)} and instr(concat(' > ', t.path, ' > '), concat(' > ', e.dst, ' > ')) = 0)
-        select path, depth from tree"""
-    return spark.sql(query, edges=edges, roots=roots)
+def dep_tree(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """path (names joined by ' > ') and depth of every way down from the roots, repeated subtrees in full; a way ends where it would come back to a node of its own. As many rows as there are ways, which in a graph with many shared subtrees is far more than nodes."""
+    e = _written(edges.select("src", "dst").distinct())
+    out = front = _written(roots.select("node", F.col("node").alias("path"), F.lit(0).alias("depth")))
+    mark = F.lit(" > ")
+    while True:
+        down = front.join(e, F.col("node") == F.col("src")).where(F.instr(F.concat(mark, "path", mark), F.concat(mark, "dst", mark)) == 0)
+        front = _written(down.select(F.col("dst").alias("node"), F.concat("path", mark, "dst").alias("path"), (F.col("depth") + 1).alias("depth")))
+        if front.isEmpty():
+            return out.select("path", "depth")
+        out = out.unionByName(front)
 
 
 def kahn_order(nodes: list[str], edges: list[tuple[str, str]], self_edges: bool = True, cycles_first: bool = True) -> tuple[list[str], list[str]]:

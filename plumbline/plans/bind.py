@@ -24,8 +24,10 @@ ROLES: dict[str, str] = {
     # the same with a way back for some, so that there are cycles
     "cyclic": """select src, dst from {dag} union all select concat('m', cast(cast(floor(p_partkey / 2.0) as bigint) as string)), concat('m', cast(p_partkey as string)) from {part} where p_partkey > 2 and p_partkey % 40 = 3""",
     "dag_nodes": "select concat('m', cast(p_partkey as string)) as node from {part}",
-    "nation_edges": """select distinct concat('n', cast(c.c_nationkey as string)) as src, concat('n', cast(s.s_nationkey as string)) as dst from {customer} c join {orders} o on o.o_custkey = c.c_custkey
-        join {lineitem} l on l.l_orderkey = o.o_orderkey join {supplier} s on s.s_suppkey = l.l_suppkey where o.o_orderpriority = '1-URGENT' and l.l_linenumber = 1 and l.l_quantity < 3""",
+    # the nations from which a nation orders most
+    "nation_pairs": """select a, b, row_number() over (partition by a order by n desc, b) as k from (select c.c_nationkey as a, s.s_nationkey as b, count(*) as n from {customer} c join {orders} o on o.o_custkey = c.c_custkey
+        join {lineitem} l on l.l_orderkey = o.o_orderkey join {supplier} s on s.s_suppkey = l.l_suppkey group by c.c_nationkey, s.s_nationkey) q""",
+    "nation_edges": "select concat('n', cast(a as string)) as src, concat('n', cast(b as string)) as dst from {nation_pairs} where k <= 2",
     # imports and dependencies
     "imports": "select concat('m', cast(page_id % 40 as string)) as module, url as value from {pages}",
     "depends_on": "select concat('m', cast(k as string)) as module, v as value from (select distinct page_id % 40 as k from {pages}) q cross join (select 'src/blog.rs' as v, 0 as r union all select 'lib/www/mod.rs', 1 union all select 'src/example.com.rs', 2) w where k % 4 <> 0 and k % 3 <> r",
@@ -33,27 +35,33 @@ ROLES: dict[str, str] = {
     "forbidden_deps": "select concat('m', cast(k as string)) as module, v as value from (select distinct page_id % 40 as k from {pages}) q cross join (select 'cheap-pills' as v, 1 as r union all select 'utm_source', 2 union all select 'example.net', 3) w where k % r = 0",
     # exposed entities and extracted facts
     "exposes": """select distinct concat('s', cast(l_suppkey as string)) as module, concat('p', cast(l_partkey as string)) as name, case l_partkey % 4 when 0 then 'type' when 1 then 'variable' when 2 then 'function' end as kind,
-        concat('(a: ', cast(l_suppkey % 3 as string), ' ) -> b') as signature, case when l_partkey % 5 > 0 then concat('entity ', cast(l_partkey as string)) end as description from {lineitem} where l_linenumber <= 2 and l_quantity < 30""",
-    "x_functions": """select distinct concat('s', cast(l_suppkey as string)) as module, concat('p', cast(l_partkey as string)) as name, l_quantity > 15 as is_public, concat('(a:', cast(l_partkey % 3 as string), ')->b') as signature from {lineitem} where l_linenumber <= 2 and l_discount > 0.03""",
-    "x_types": "select distinct concat('s', cast(l_suppkey as string)) as module, concat('p', cast(l_partkey as string)) as name from {lineitem} where l_linenumber <= 2 and l_tax > 0.02",
-    "x_vars": "select distinct concat('s', cast(l_suppkey as string)) as module, concat('p', cast(l_partkey as string)) as name from {lineitem} where l_linenumber <= 2 and l_tax > 0.04",
+        concat('(a: ', cast(l_suppkey % 3 as string), ' ) -> b') as signature, case when l_partkey % 5 > 0 then concat('entity ', cast(l_partkey as string)) end as description from {lineitem}""",
+    "x_functions": """select distinct concat('s', cast(l_suppkey as string)) as module, concat('p', cast(l_partkey as string)) as name, l_quantity > 15 as is_public, concat('(a:', cast(l_partkey % 3 as string), ')->b') as signature from {lineitem} where l_discount > 0.03""",
+    "x_types": "select distinct concat('s', cast(l_suppkey as string)) as module, concat('p', cast(l_partkey as string)) as name from {lineitem} where l_tax > 0.02",
+    "x_vars": "select distinct concat('s', cast(l_suppkey as string)) as module, concat('p', cast(l_partkey as string)) as name from {lineitem} where l_tax > 0.04",
     # state and events
-    "owns_state": "select distinct concat('s', cast(l_suppkey as string)) as module, concat('p', cast(l_partkey as string)) as value from {lineitem} where l_linenumber = 1 and l_quantity < 3",
-    "actual_state": "select distinct concat('s', cast(l_suppkey as string)) as module, concat('p', cast(l_partkey as string)) as value from {lineitem} where l_linenumber = 1 and l_quantity < 4 and l_discount > 0.01",
-    "reads_state": "select distinct concat('s', cast(l.l_suppkey as string)) as module, concat('p', cast(l.l_partkey as string)) as value from {lineitem} l join {orders} o on o.o_orderkey = l.l_orderkey where o.o_orderpriority = '1-URGENT' and l.l_linenumber = 1",
+    # a state is a part in a quantity on a line, so that most have one owner and some several
+    "owns_state": "select distinct concat('s', cast(l_suppkey as string)) as module, concat('p', cast(l_partkey as string), '_', cast(l_linenumber as string), '_', cast(cast(l_quantity as int) as string)) as value from {lineitem}",
+    "actual_state": "select distinct concat('s', cast(l_suppkey as string)) as module, concat('p', cast(l_partkey as string), '_', cast(l_linenumber as string), '_', cast(cast(l_quantity as int) as string)) as value from {lineitem} where l_discount > 0.01",
+    "reads_state": "select distinct concat('s', cast(l.l_suppkey as string)) as module, concat('p', cast(l.l_partkey as string), '_', cast(l.l_linenumber as string), '_', cast(cast(l.l_quantity as int) as string)) as value from {lineitem} l join {orders} o on o.o_orderkey = l.l_orderkey where o.o_orderpriority = '1-URGENT'",
     "emits": "select distinct concat('u', cast(user_id as string)) as module, event_type as value from {events} where value > 20",
     "actual_events": "select distinct concat('u', cast(user_id as string)) as module, event_type as value from {events} where value < 2",
     "declared_events": "select distinct concat('u', cast(user_id as string)) as module, event_type as value from {events} where value > 3 and value < 5 and user_id % 3 > 0",
     "subscribes": "select distinct concat('u', cast(user_id as string)) as module, case when user_id % 5 = 0 then concat(event_type, '_v2') else event_type end as value from {events} where value > 30 and event_type <> 'view'",
     # protocols
-    "first_events": "select user_id, event_type, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from {events}",
-    "transitions": """select concat('u', cast(b.user_id as string)) as module, cast(b.k as bigint) as pos, a.event_type as from_state, concat('do_', b.event_type) as call, b.event_type as to_state
-        from {first_events} a join {first_events} b on a.user_id = b.user_id and b.k = a.k + 1 where b.k <= 4""",
-    "protocols": "select concat('u', cast(user_id as string)) as module, event_type as initial from {first_events} where k = 1",
-    "protocol_items": """select distinct concat('u', cast(user_id as string)) as module, 'states' as field, event_type as value from {events} where event_type <> 'error' or user_id % 2 = 0
-        union all select concat('u', cast(user_id as string)), 'terminal', case when user_id % 7 = 0 then 'gone' else event_type end from {first_events} where k = 4""",
-    "p_functions": "select distinct concat('u', cast(user_id as string)) as module, concat('do_', event_type) as name from {events} where value > 12",
-    "call_pairs": "select module, o as open_fn, c as close_fn from (select distinct concat('u', cast(user_id as string)) as module from {events}) q cross join (select 'do_signup' as o, 'do_purchase' as c union all select 'do_click', 'do_view') w",
+    # a protocol for what each user did on each day
+    "steps": """select concat('u', cast(user_id as string), '-', cast(cast(ts as date) as string)) as module, user_id, event_type, value,
+        row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) as k, count(*) over (partition by user_id, cast(ts as date)) as n from {events}""",
+    "transitions": """select b.module, cast(b.k as bigint) as pos, a.event_type as from_state, concat('do_', b.event_type) as call, b.event_type as to_state
+        from {steps} a join {steps} b on a.module = b.module and b.k = a.k + 1""",
+    "protocols": "select module, event_type as initial from {steps} where k = 1",
+    "protocol_items": """select distinct module, 'states' as field, event_type as value from {steps} where event_type <> 'error' or user_id % 2 = 0
+        union all select module, 'states', 'closed' from {steps} where k = 1 and value > 10
+        union all select module, 'terminal', case when user_id % 7 = 0 then 'gone' else event_type end from {steps} where k = n""",
+    "p_functions": "select distinct module, concat('do_', event_type) as name from {steps} where value > 12",
+    "step_emits": "select distinct module, event_type as value from {steps} where value > 20",
+    "step_subscribes": "select distinct module, case when user_id % 5 = 0 then concat(event_type, '_v2') else event_type end as value from {steps} where value > 30 and event_type <> 'view'",
+    "call_pairs": "select module, o as open_fn, c as close_fn from (select distinct module from {steps}) q cross join (select 'do_signup' as o, 'do_purchase' as c union all select 'do_click', 'do_view') w",
     "event_pairs": "select module, o as open_fn, c as close_fn from (select distinct concat('u', cast(user_id as string)) as module from {events}) q cross join (select 'signup' as o, 'purchase' as c union all select 'click', 'view') w",
     "call_lines": "select concat('u', cast(user_id as string)) as module, concat(case when event_id % 7 = 0 then '// ' when event_id % 11 = 0 then 'fn ' else '' end, event_type, '(', cast(event_id as string), ');') as line from {events}",
     # contracts
@@ -64,9 +72,8 @@ ROLES: dict[str, str] = {
     "project_modules": "select concat('r', cast(n_regionkey as string)) as project, concat('n', cast(n_nationkey as string)) as module, concat('src/n', cast(n_nationkey as string), '.rs') as source_path from {nation} where n_nationkey <> 11",
     "explicit_public": "select concat('r', cast(n_regionkey as string)) as project, concat('n', cast(n_nationkey as string)) as value from {nation} where n_nationkey % 2 = 0 and n_regionkey < 2",
     "public_members": "select concat('r', cast(n_regionkey as string)) as project, concat('src/n', cast(n_nationkey as string), '.rs') as value from {nation} where n_nationkey % 3 = 0 and n_regionkey < 3",
-    "cross_refs": """select distinct concat('n', cast(c.c_nationkey as string)) as module, case when s.s_nationkey % 9 = 8 then concat('n', cast(s.s_nationkey as string)) else concat('r', cast(n.n_regionkey as string), '::src/n', cast(s.s_nationkey as string), '.rs') end as value
-        from {customer} c join {orders} o on o.o_custkey = c.c_custkey join {lineitem} l on l.l_orderkey = o.o_orderkey join {supplier} s on s.s_suppkey = l.l_suppkey join {nation} n on n.n_nationkey = s.s_nationkey
-        where o.o_orderpriority = '1-URGENT' and l.l_linenumber = 1 and l.l_quantity < 3""",
+    "cross_refs": """select concat('n', cast(p.a as string)) as module, case when p.b % 9 = 8 then concat('n', cast(p.b as string)) else concat('r', cast(n.n_regionkey as string), '::src/n', cast(p.b as string), '.rs') end as value
+        from {nation_pairs} p join {nation} n on n.n_nationkey = p.b""",
     # subsystems
     "members": "select concat('r', cast(n_regionkey as string)) as module, case when n_nationkey % 6 = 5 then concat('src/gone', cast(n_nationkey as string), '.rs') when n_nationkey % 2 = 0 then concat('n', cast(n_nationkey as string)) else concat('src/n', cast(n_nationkey as string), '.rs') end as value from {nation}",
     "delegations": """select concat('r', cast(n.n_regionkey as string)) as module, s.s_name as name, case s.s_suppkey % 5 when 0 then 'plain' when 1 then concat('n', cast((s.s_nationkey + 1) % 25 as string), '.f1') else concat('n', cast(s.s_nationkey as string), '.f', cast(s.s_suppkey % 4 as string)) end as target
@@ -79,7 +86,7 @@ ROLES: dict[str, str] = {
     "specs": "select concat('d', cast(doc_id as string)) as module, text as source_text, case when doc_id % 10 = 0 then 'ffff000011112222' when doc_id % 10 < 9 then left({sha}(text), 16) end as source_hash from {documents}",
     "invariant_texts": """select 'it never panics' as invariant, 1 as i union all select 'No Unwrap anywhere', 2 union all select 'no unsafe code', 3 union all select 'open: requires a path', 4 union all select 'close: ensures no panic', 5 union all select 'returns Result', 6
         union all select 'never unwraps', 7 union all select 'total is constant', 8 union all select 'NO PANIC on input', 9 union all select 'order is kept', 10 union all select 'never unsafe', 11 union all select 'returns error early', 12""",
-    "invariants": "select concat('d', cast(l.doc_id as string)) as module, t.invariant, d.text as code from {labels} l join {documents} d on d.doc_id = l.doc_id cross join {invariant_texts} t where l.doc_id % 12 = t.i % 12",
+    "invariants": "select concat('d', cast(l.doc_id as string)) as module, t.invariant, d.text as code from {labels} l join {documents} d on d.doc_id = l.doc_id cross join {invariant_texts} t",
     "wanted": "select concat('d', cast(doc_id as string)) as module, {sha}(concat(text, '|', 'quality')) as cache_key from {documents}",
     "verdict_cache": "select {sha}(concat(d.text, '|', 'quality')) as cache_key, max(l.quality) = 1 as satisfies from {labels} l join {documents} d on d.doc_id = l.doc_id group by d.text",
     # defaults

@@ -80,8 +80,8 @@ _sql("resolved_deps", "member_deps project_modules", f"select d.module, d.value,
 _sql("contract_gaps", "requires ensured", r"""select r.module, r.name as subject, 'warning' as severity, 'contract' as check_id, $$'$$ || r.requirement || $$' is not ensured by '$$ || e.entity || $$'$$ as message
     from requires r join (select distinct provider, entity from ensured) e on e.provider = r.provider and contains(r.requirement, e.entity)
     where not exists (select 1 from ensured t, unnest(regexp_split_to_array(trim(r.requirement), '\s+')) w(w) where t.provider = e.provider and t.entity = e.entity and strlen(w.w) > 3 and contains(t.text, w.w))""")
-_sql("protocol_events", "subscribes emits transitions", """select s.module, s.value as subject, 'warning' as severity, 'event-not-in-protocol' as check_id, $$'$$ || s.value || $$' is no transition of '$$ || s.module || $$'$$ as message from subscribes s
-    where exists (select 1 from emits e where e.module = s.module and e.value = s.value) and s.module in (select module from transitions) and not exists (select 1 from transitions t where t.module = s.module and t.call = 'do_' || s.value)""")
+_sql("protocol_events", "step_subscribes step_emits transitions", """select s.module, s.value as subject, 'warning' as severity, 'event-not-in-protocol' as check_id, $$'$$ || s.value || $$' is no transition of '$$ || s.module || $$'$$ as message from step_subscribes s
+    where exists (select 1 from step_emits e where e.module = s.module and e.value = s.value) and s.module in (select module from transitions) and not exists (select 1 from transitions t where t.module = s.module and t.call = 'do_' || s.value)""")
 _sql("split_pairs", "call_lines event_pairs", """, t as (select 'v' || string_split(line, '(')[-1] as module, module as provider, line from call_lines),
     g as (select t.module, t.provider, p.open_fn, p.close_fn, bool_or(contains(t.line, p.open_fn)) as o, bool_or(contains(t.line, p.close_fn)) as c from t join event_pairs p on p.module = t.provider group by all)
     select module, provider as subject, 'warning' as severity, case when o then 'leak' else 'use-before-open' end as check_id, case when o then $$'$$ || open_fn || $$' without '$$ || close_fn || $$'$$ else $$'$$ || close_fn || $$' without '$$ || open_fn || $$'$$ end as message from g where o <> c""")
@@ -136,8 +136,8 @@ _sql("in_degree", "edges", "select dst as node, count(*) as n from edges group b
 _sql("topo_levels", "dag dag_nodes", ", walk(node, level) as (select node, 0 from dag_nodes n where not exists (select 1 from dag where src = n.node) union select d.src, w.level + 1 from walk w join dag d on d.dst = w.node) select node, max(level)::int as level from walk group by node")
 _sql("graph_cycles", "cyclic dag_nodes", ", hot as (select substr(dst, 2)::int as k from cyclic where substr(src, 2)::int < substr(dst, 2)::int), start as (select distinct 'm' || (k // 2) as node from hot), reach(a, b) as (select src, dst from cyclic where src in (select node from start) union select r.a, c.dst from reach r join cyclic c on c.src = r.b), back(a, b) as (select node, node from start union select k.a, c.src from back k join cyclic c on c.dst = k.b) select distinct r.b as node from reach r join back k on k.a = r.a and k.b = r.b")
 _sql("project_closure", "nation_edges", ", w(start, node, distance) as (select src, dst, 1 from nation_edges union select w.start, e.dst, w.distance + 1 from w join nation_edges e on e.src = w.node where w.distance < 26) select start, node, min(distance)::int as distance from w group by start, node")
-_sql("impact", "dag", ", w(module, node, distance) as (select dst, src, 1 from dag where dst in ('m1', 'm5', 'm17') union select w.module, d.src, w.distance + 1 from w join dag d on d.dst = w.node) select module, node as dependent, min(distance)::int as distance from w group by module, node")
-_sql("dep_tree", "dag dag_nodes", ", w(node, path, depth) as (select node, node, 0 from dag_nodes where substr(node, 2)::int between 32 and 63 union all select d.dst, w.path || ' > ' || d.dst, w.depth + 1 from w join dag d on d.src = w.node where substr(d.src, 2)::int <= 63 and w.depth < 8) select path, depth::int as depth from w")
+_sql("impact", "dag", ", w(module, node, distance) as (select dst, src, 1 from dag union select w.module, d.src, w.distance + 1 from w join dag d on d.dst = w.node) select module, node as dependent, min(distance)::int as distance from w group by module, node")
+_sql("dep_tree", "dag dag_nodes", ", w(node, path, depth) as (select node, node, 0 from dag_nodes union all select d.dst, w.path || ' > ' || d.dst, w.depth + 1 from w join dag d on d.src = w.node) select path, depth::int as depth from w")
 
 ORACLE_SQL["estimate_tokens"] = "select doc_id, (strlen(text) // 4 + 100)::bigint as tokens from documents"
 ORACLE_SQL["word_scan"] = "select doc_id, " + ", ".join(f"regexp_matches(text, '(^|[^A-Za-z0-9_]){w}($|[^A-Za-z0-9_])') as has_{w}" for w in ("token", "on", "License")) + " from documents"

@@ -194,7 +194,7 @@ def contract_gaps(requires, ensured):
     return _short(checks.contract_gaps(requires, ensured.groupBy("provider", "entity").agg(F.collect_list("text").alias("texts"))))
 
 
-@query("subscribes", "emits", "transitions")
+@query("step_subscribes", "step_emits", "transitions")
 def protocol_events(subscribes, emits, transitions):
     return _short(checks.protocol_events(subscribes.withColumn("provider", F.col("module")), emits, transitions.select("module", F.substring("call", 4, 99).alias("call"))))
 
@@ -344,13 +344,12 @@ def project_closure(edges):
 @query("dag", "dag_nodes")
 def impact(edges, nodes):
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return graph.closure(back, nodes.where(F.substring("node", 2, 9).cast("int").isin(1, 5, 17))).select(F.col("start").alias("module"), F.col("node").alias("dependent"), "distance")
+    return graph.closure(back, nodes).select(F.col("start").alias("module"), F.col("node").alias("dependent"), "distance")
 
 
 @query("dag", "dag_nodes")
 def dep_tree(edges, nodes):
-    k = lambda c: F.substring(c, 2, 9).cast("int")
-    return graph.dep_tree(edges.where((k("src") <= 63)), nodes.where((k("node") >= 32) & (k("node") <= 63)))
+    return graph.dep_tree(edges, nodes)
 
 
 # invariants and text
