@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import layers, paths
+from plumbline.operators.checks import append_missing
 from plumbline.operators.rules import Rule
 
 try:
@@ -156,8 +157,7 @@ def with_defaults(specs: DataFrame, defaults: DataFrame, root: str) -> DataFrame
     for c in DEFAULT_SCALARS:
         out = out.withColumn(c, F.coalesce(c, F.lower(f"__{c}") if c == "layer" else f"__{c}"))
     for c in DEFAULT_LISTS:
-        own = F.coalesce(c, F.array().cast("array<string>"))
-        out = out.withColumn(c, F.concat(own, F.filter(F.coalesce(f"__{c}", F.array().cast("array<string>")), lambda v, own=own: ~F.array_contains(own, v))))
+        out = out.withColumn(c, append_missing(c, f"__{c}"))
     return out.drop("__dir", *[f"__{c}" for c in DEFAULT_SCALARS + DEFAULT_LISTS])
 
 
