@@ -23,17 +23,19 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm import kernel
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-SUB_BATCH = 4 << 20
+SUB_BATCH = 1 << 20
 #: Distinct slices that a worker remembers; beyond it starts afresh, which changes no result.
 CACHE_ENTRIES = 1_000_000
 
@@ -285,28 +287,6 @@ def encoder(file: bytes) -> Encoder:
     return _encoders[key]
 
 
-def encode_udf(file: bytes):
-    """Column function: text -> struct of tokens, offsets, n_tokens and round_trip."""
-
-    def run(texts: pa.Array) -> pa.Array:
-        enc = encoder(file)
-        missing = texts.is_null().to_numpy(zero_copy_only=False)
-        ids, offsets, counts, fine = [], [], [], []
-        for _, _, sub in kernel.sub_batches(texts, SUB_BATCH):
-            i, o, rows, ok = enc.encode(sub)
-            ids.append(i)
-            offsets.append(o)
-            counts.append(np.diff(rows))
-            fine.append(ok)
-        count = np.concatenate([*counts, np.zeros(0, np.int64)])
-        bounds = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32), mask=np.concatenate((missing, [False])))
-        lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([*x, np.zeros(0, np.int32)]), pa.int32())) for x in (ids, offsets)]
-        return pa.StructArray.from_arrays([*lists, pa.array(count.astype(np.int32), mask=missing), pa.array(np.concatenate([*fine, np.zeros(0, bool)]), mask=missing)], ["tokens", "offsets", "n_tokens", "round_trip"])
-
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "struct<tokens:array<int>,offsets:array<int>,n_tokens:int,round_trip:boolean>")
-
-
 def decode_udf(file: bytes):
     """Column function: tokens -> text; null for null. Bytes that are not UTF-8, as a cut run of tokens may have, become U+FFFD."""
 
@@ -319,8 +299,22 @@ def decode_udf(file: bytes):
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, tokens, offsets, n_tokens and round_trip, a row for each row of docs."""
-    return docs.select("doc_id", encode_udf(read_ranks(path))(F.col("text").cast("string")).alias("m")).select("doc_id", "m.*")
+    """doc_id, tokens, offsets, n_tokens and round_trip, a row for each row of docs. Rows leave in batches of at most `SUB_BATCH` bytes of text, so that a worker holds no more tokens than that."""
+    file = read_ranks(path)
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("tokens array<int>, offsets array<int>, n_tokens int, round_trip boolean")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(file)
+        for b in batches:
+            missing = b["text"].is_null().to_numpy(zero_copy_only=False)
+            for i, j, sub in kernel.sub_batches(b["text"], SUB_BATCH):
+                ids, offsets, rows, fine = enc.encode(sub)
+                none = missing[i:j]
+                bounds = pa.array(rows.astype(np.int32), mask=np.append(none, False))
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (ids, offsets)]
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), *lists, pa.array(np.diff(rows).astype(np.int32), mask=none), pa.array(fine, mask=none)], ["doc_id", "tokens", "offsets", "n_tokens", "round_trip"])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:

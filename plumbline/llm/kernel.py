@@ -14,7 +14,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-SUB_BATCH_BYTES = 1 << 20
+SUB_BATCH_BYTES = 1 << 19
 N_CODES = 0x110000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -114,7 +114,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers, modulo 2 ** 64, of an odd base and of its inverse."""
     if not _powers or len(_powers[0]) < n:
-        size = max(1 << 21, 1 << int(n).bit_length())
+        size = max(1 << 20, 1 << int(n).bit_length())
         _powers[:] = [_power_table(_BASE, size), _power_table(pow(_BASE, -1, 1 << 64), size)]
     return _powers[0][:n], _powers[1][:n]
 
