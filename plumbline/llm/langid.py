@@ -8,8 +8,7 @@ bit over its masks), the expected false positives of each filter are taken off,
 and the language with the largest share decides.
 
 The filters are filled from a sample of labelled rows, at most `per_language`
-of each language and, from each, `max_chars` code points; everything
-else reads whole texts of all rows. Their size is a parameter, so what is sent to the
+of each language; everything else reads all rows. Their size is a parameter, so what is sent to the
 workers does not grow with the data.
 
 Defined cases: a null, empty or letterless text has no n-grams and gets no
@@ -143,12 +142,12 @@ def shares(arr: pa.Array, filters: Filters) -> tuple[np.ndarray, np.ndarray]:
         return total, np.nan_to_num(corrected / total[:, None])
 
 
-def labelled_sample(docs: DataFrame, label: str = "lang", per_language: int = 400, max_chars: int = 20_000) -> list[tuple[str, str]]:
+def labelled_sample(docs: DataFrame, label: str = "lang", per_language: int = 400) -> list[tuple[str, str]]:
     """The training rows: of each label the `per_language` with the smallest hash of doc_id. The sample's size is bounded by these parameters and the number of labels."""
     order = Window.partitionBy("l").orderBy("h", "d")
     rows = docs.select(F.col(label).cast("string").alias("l"), F.xxhash64(F.col("doc_id")).alias("h"), F.col("doc_id").alias("d")).where("l is not null")
     chosen = cluster.few(rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("d").distinct())
-    texts = docs.select(F.col(label).cast("string").alias("l"), F.col("doc_id").alias("d"), F.substring(F.col("text").cast("string"), 1, max_chars).alias("t"))
+    texts = docs.select(F.col(label).cast("string").alias("l"), F.col("doc_id").alias("d"), F.col("text").cast("string").alias("t"))
     got = texts.where("l is not null and t is not null").join(chosen, "d", "left_semi").select("l", "t", "d").collect()
     return [(r[0], r[1]) for r in sorted(got, key=lambda r: (r[0], r[2] if r[2] is not None else -1, r[1]))]
 

@@ -107,7 +107,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_domain: int = 600) -
     own = labels.select(F.col("doc_id").alias("i"), domain.alias("d")).where("i is not null and d is not null").distinct()
     order = Window.partitionBy("d").orderBy(F.xxhash64("i"), "i")
     chosen = cluster.few(own.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_domain).drop("k"))
-    rows = docs.select(F.col("doc_id").alias("i"), F.substring(F.col("text").cast("string"), 1, 20_000).alias("t")).where("t is not null").join(chosen, "i").select("d", "i", "t").collect()
+    rows = docs.select(F.col("doc_id").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null").join(chosen, "i").select("d", "i", "t").collect()
     shares = np.zeros(len(DOMAINS))
     for d, c in own.groupBy("d").count().collect():
         shares[d] = c

@@ -170,8 +170,8 @@ def lexicon(docs: DataFrame | None = None, labels: DataFrame | None = None, per_
         return dict(BUILT_IN), {}
     own = labels.select(F.col("doc_id").alias("i"), (F.col("toxic").cast("int") == 1).alias("x")).where("i is not null and x is not null").distinct()
     order = Window.partitionBy("x").orderBy(F.xxhash64("i"), "i")
-    chosen = cluster.few(own.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.when(F.col("x"), per_class).otherwise(2 * per_class)).drop("k"))
-    rows = docs.select(F.col("doc_id").alias("i"), F.substring(F.col("text").cast("string"), 1, 20_000).alias("t")).where("t is not null").join(chosen, "i").select("x", "i", "t").collect()
+    chosen = cluster.few(own.withColumn("k", F.row_number().over(order)).where(F.col("k") <= 2 * per_class).where(~F.col("x") | (F.col("k") <= per_class)).drop("k"))
+    rows = docs.select(F.col("doc_id").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null").join(chosen, "i").select("x", "i", "t").collect()
     words, stems = learn([(r[0], r[2]) for r in sorted(rows)])
     return {**words, **BUILT_IN}, stems
 
