@@ -23,7 +23,7 @@ _FUNCTION = "params array<struct<name: string, type: string>>, return_type strin
 
 
 class Engine:
-    """One project: its specs (under <root>/specs), sources, rules and dependencies."""
+    """One project: its specs (under <root>/specs), sources, rules and dependencies. What is read and extracted is written once as tables in the shared folder, so every check starts from a plain scan."""
 
     def __init__(self, spark: SparkSession, root: str, spec_dir: str = "specs", rules_file: str | None = None, excludes: list[str] = (), shallow: bool = False):
         self.spark, self.root, self.shallow = spark, os.path.abspath(root), shallow
@@ -39,21 +39,21 @@ class Engine:
     @cached_property
     def specs(self) -> DataFrame:
         s = specs.load_specs(self.spark, self.spec_root)
-        return s.where(~F.coalesce(paths.excluded(F.col("source_path"), self.excludes), F.lit(False))).cache()
+        return graph.written(s.where(~F.coalesce(paths.excluded(F.col("source_path"), self.excludes), F.lit(False))))
 
     @cached_property
     def subsystems(self) -> DataFrame:
-        return specs.load_subsystems(self.spark, self.spec_root).cache()
+        return graph.written(specs.load_subsystems(self.spark, self.spec_root))
 
     @cached_property
     def sources(self) -> DataFrame:
-        return specs.source_texts(self.spark, self.root, self.excludes).cache()
+        return graph.written(specs.source_texts(self.spark, self.root, self.excludes))
 
     @cached_property
     def located(self) -> DataFrame:
         """module, path, text and language of every spec's source; path is null where there is none."""
         found = checks.find_source(self.specs.select("module", "language", "source_path"), self.sources.select("path"))
-        return self.specs.select("module").join(found, "module", "left").join(self.sources, "path", "left").select("module", "path", "text", "language").cache()
+        return graph.written(self.specs.select("module").join(found, "module", "left").join(self.sources, "path", "left").select("module", "path", "text", "language"))
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -65,7 +65,7 @@ class Engine:
         zipped = sol.select("module", F.explode(F.arrays_zip(F.col("x.functions").alias("n"), F.col("x.signatures").alias("g"))).alias("z"), F.col("x.public").alias("pub"))
         solf = zipped.select(F.col("module").alias("path"), F.when(F.array_contains("pub", F.col("z.n")), "public_functions").otherwise("private_functions").alias("field"), F.lit(0).alias("pos"), F.col("z.n").alias("name"), F.col("z.g").alias("detail"))
         parts += [solf, *(pick(f, f"x.{f}") for f in ("imports", "events", "state_variables", "modifiers"))]
-        return union(*parts).withColumnRenamed("path", "module").cache()
+        return graph.written(union(*parts).withColumnRenamed("path", "module"))
 
     def _named(self, *fields: str) -> DataFrame:
         return self.facts.where(F.col("field").isin(*fields)).select("module", "name")
@@ -113,7 +113,7 @@ class Engine:
     def edges(self) -> DataFrame:
         """src and dst of resolved dependencies between modules."""
         deps = specs.module_list(self.specs, "depends_on").where("instr(value, '::') = 0")
-        return checks.resolved_deps(deps, self.specs).where("resolved is not null").select(F.col("module").alias("src"), F.col("resolved").alias("dst"))
+        return graph.written(checks.resolved_deps(deps, self.specs).where("resolved is not null").select(F.col("module").alias("src"), F.col("resolved").alias("dst")))
 
     def _composition(self) -> DataFrame:
         s = self.specs

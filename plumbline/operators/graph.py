@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """df as a table in the folder of spark.checkpoint.dir, or, where that is unset, in a local one."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="plumbline-")
@@ -31,15 +31,15 @@ def in_degree(edges: DataFrame) -> DataFrame:
 
 def _peel(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Levels (node, level) of the nodes from which no cycle is reached, in rounds: a node whose dependencies all have a level gets the next; and the nodes left over. A round writes only the edges that remain; the nodes it freed are those that began an edge before it and begin none after."""
-    known = _written(nodes.select("node").distinct())
+    known = written(nodes.select("node").distinct())
     ends = known.select(F.col("node").alias("dst"))
-    left = _written(edges.select("src", "dst").distinct().join(ends, "dst", "left_semi").join(known.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst"))
+    left = written(edges.select("src", "dst").distinct().join(ends, "dst", "left_semi").join(known.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst"))
     starts = lambda e: e.select(F.col("src").alias("node")).distinct()
     free = known.join(starts(left), "node", "left_anti")
     out, level, size = free.withColumn("level", F.lit(0)), 0, left.count()
     while size:
         level += 1
-        rest = _written(left.join(free.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        rest = written(left.join(free.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
         free = starts(left).join(starts(rest), "node", "left_anti")
         out = out.unionByName(free.withColumn("level", F.lit(level)))
         before, size, left = size, rest.count(), rest
@@ -57,10 +57,10 @@ def topo_levels(edges: DataFrame, nodes: DataFrame, ignore_self: bool = False) -
 
 def _fixed_point(state: DataFrame, step, measure) -> DataFrame:
     """state under step, written each time, until its measure no longer changes."""
-    state = _written(state)
+    state = written(state)
     seen = state.agg(measure).first()[0]
     while True:
-        state = _written(step(state))
+        state = written(step(state))
         now = state.agg(measure).first()[0]
         if now == seen:
             return state
@@ -123,9 +123,9 @@ def cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     inside = lambda e, n: e.join(n.select(F.col("node").alias("src")), "src", "left_semi").join(n.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
     while True:
         _, left = _peel(live, known)
-        live = _written(inside(live, left))
+        live = written(inside(live, left))
         _, left = _peel(turned(live), left)
-        live, known = _written(inside(live, left)), _written(left)
+        live, known = written(inside(live, left)), written(left)
         size = live.count()
         if not size:
             return out
@@ -137,27 +137,27 @@ def cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return c.unionByName(sent).groupBy("node").agg(F.max("colour").alias("colour"))
 
         colour = _fixed_point(known.select("node", F.col("node").alias("colour")), recolour, F.sum(F.xxhash64("node", "colour").cast("decimal(38,0)")))
-        own = _written(live.join(colour.select(F.col("node").alias("src"), "colour"), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("colour = c2").select("src", "dst"))
+        own = written(live.join(colour.select(F.col("node").alias("src"), "colour"), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("colour = c2").select("src", "dst"))
 
         def grow(r: DataFrame, e: DataFrame = own) -> DataFrame:
             return r.union(e.join(r.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"))).distinct()
 
         part = _fixed_point(colour.where("node = colour").select("node"), grow, F.count("*"))
         # a root alone is on a cycle only by an edge to itself
-        out = _written(out.union(inside(own, part).select("src")).distinct())
-        known = _written(known.join(part, "node", "left_anti"))
-        live = _written(inside(live, known))
+        out = written(out.union(inside(own, part).select("src")).distinct())
+        known = written(known.join(part, "node", "left_anti"))
+        live = written(inside(live, known))
 
 
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """start, node and distance of every node reached from the start nodes, without the start itself unless it is on a cycle. edges: src, dst; start: node."""
-    e = _written(edges.select("src", "dst").distinct())
-    seen = front = _written(start.select(F.col("node").alias("start"), F.col("node").alias("src")).distinct().join(e, "src").select("start", F.col("dst").alias("node")).distinct().withColumn("distance", F.lit(1)))
+    e = written(edges.select("src", "dst").distinct())
+    seen = front = written(start.select(F.col("node").alias("start"), F.col("node").alias("src")).distinct().join(e, "src").select("start", F.col("dst").alias("node")).distinct().withColumn("distance", F.lit(1)))
     step = 1
     while True:
         step += 1
         nxt = front.select("start", F.col("node").alias("src")).join(e, "src").select("start", F.col("dst").alias("node")).distinct()
-        front = _written(nxt.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(step)))
+        front = written(nxt.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(step)))
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
@@ -165,12 +165,12 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 def dep_tree(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """path (names joined by ' > ') and depth of every way down from the roots, repeated subtrees in full; a way ends where it would come back to a node of its own. As many rows as there are ways, which in a graph with many shared subtrees is far more than nodes."""
-    e = _written(edges.select("src", "dst").distinct())
-    out = front = _written(roots.select("node", F.col("node").alias("path"), F.lit(0).alias("depth")))
+    e = written(edges.select("src", "dst").distinct())
+    out = front = written(roots.select("node", F.col("node").alias("path"), F.lit(0).alias("depth")))
     mark = F.lit(" > ")
     while True:
         down = front.join(e, F.col("node") == F.col("src")).where(F.instr(F.concat(mark, "path", mark), F.concat(mark, "dst", mark)) == 0)
-        front = _written(down.select(F.col("dst").alias("node"), F.concat("path", mark, "dst").alias("path"), (F.col("depth") + 1).alias("depth")))
+        front = written(down.select(F.col("dst").alias("node"), F.concat("path", mark, "dst").alias("path"), (F.col("depth") + 1).alias("depth")))
         if front.isEmpty():
             return out.select("path", "depth")
         out = out.unionByName(front)

@@ -135,14 +135,18 @@ def load_subsystems(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_defaults(spark: SparkSession, root: str) -> DataFrame:
-    """dir and default fields of every readable _defaults.yaml under root."""
-    ddl = "file string, error string, " + ", ".join(f"{c} string" for c in DEFAULT_SCALARS) + ", " + ", ".join(f"{c} array<string>" for c in DEFAULT_LISTS)
-
-    def parse(text: str) -> dict[str, Any]:
-        d = parse_yaml(text) or {}
-        return {**{c: _text(d.get(c)) for c in DEFAULT_SCALARS}, **{c: _strings(d.get(c)) for c in DEFAULT_LISTS}}
-
-    return _parsed(_files(spark, root, "_defaults.yaml"), parse, ddl).where("error is null").withColumn("dir", F.regexp_replace("file", "/[^/]*$", "")).drop("file", "error")
+    """dir and default fields of every readable _defaults.yaml under root. They are few and small, and Spark passes over files whose names begin with an underscore, so the driver reads them."""
+    ddl = ", ".join(f"{c} string" for c in DEFAULT_SCALARS) + ", " + ", ".join(f"{c} array<string>" for c in DEFAULT_LISTS) + ", dir string"
+    rows = []
+    for folder, _, names in os.walk(os.path.abspath(root)):
+        if "_defaults.yaml" in names:
+            try:
+                with open(os.path.join(folder, "_defaults.yaml"), encoding="utf-8") as f:
+                    d = parse_yaml(f.read()) or {}
+                rows.append((*(_text(d.get(c)) for c in DEFAULT_SCALARS), *(_strings(d.get(c)) for c in DEFAULT_LISTS), folder))
+            except (OSError, ValueError, AttributeError, *((yaml.YAMLError,) if yaml is not None else ())):
+                continue
+    return spark.createDataFrame(rows, ddl)
 
 
 def with_defaults(specs: DataFrame, defaults: DataFrame, root: str) -> DataFrame:
