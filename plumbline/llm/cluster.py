@@ -25,6 +25,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to the Python workers in batches of 4 MB or 2000 rows, or one row, for this session, unless it has bounds of its own: with 10,000 rows of long texts, batches take much of an executor's memory outside the heap. No result depends on it."""
+    for key, value in ((ARROW_BYTES, str(4 << 20)), (ARROW_ROWS, "2000")):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 #: Rows up to which a narrow table of chosen ids is broadcast.
 FEW_ROWS = 200_000
 

@@ -188,12 +188,14 @@ def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budge
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, **sample) -> DataFrame:
     """doc_id, tokens, the posterior of each domain and rate, a row for each row of docs."""
+    cluster.bounded_batches(docs.sparkSession)
     _, posts, history = _fitted(docs, labels, targets, budget, **sample)
     return posts.select("doc_id", F.col("n").alias("tokens"), *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), rate_udf(history)(F.col("p")).alias("rate"))
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, **sample) -> DataFrame:
     """Rows of docs, each as many times as its rate, the fraction decided by a hash of doc_id, with the columns of docs. An empty text stays out."""
+    cluster.bounded_batches(docs.sparkSession)
     model, _, history = _fitted(docs, labels, targets, budget, **sample)
     chance = F.pmod(F.xxhash64(docs["doc_id"].cast("bigint"), F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     post = posterior_udf(model)(docs["text"].cast("string"))

@@ -221,6 +221,7 @@ def edges(sigs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> Data
 
 def duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
     """doc_id and duplicate_of, the smallest doc_id of its group, for every document but that one."""
+    cluster.bounded_batches(docs.sparkSession)
     sigs = cluster.written(docs.select(F.col("doc_id").cast("bigint").alias("i"), signature_udf()(F.col("text").cast("string")).alias("s")).where("i is not null and s is not null"))
     same = sigs.groupBy("s").agg(F.min("i").alias("r"))
     copies = sigs.join(same, "s").where("i <> r").select(F.col("i").alias("a"), F.col("r").alias("b"))

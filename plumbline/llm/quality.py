@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm import kernel
+from plumbline.llm import cluster, kernel
 
 #: Share of characters in repeated n-grams above which a document is rejected.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -126,9 +126,11 @@ def repetition_udf(limits: dict[int, float] = NGRAM_LIMITS, line_char_limit: flo
 
 def repetition(docs: DataFrame, **limits) -> DataFrame:
     """doc_id, the measures and `keep`, a row for each row of docs."""
+    cluster.bounded_batches(docs.sparkSession)
     return docs.select("doc_id", repetition_udf(**limits)(F.col("text").cast("string")).alias("m")).select("doc_id", "m.*")
 
 
 def keep_unrepetitive(docs: DataFrame, **limits) -> DataFrame:
     """The rows of docs that pass every rule, with the columns of docs."""
+    cluster.bounded_batches(docs.sparkSession)
     return docs.where(repetition_udf(**limits)(docs["text"].cast("string"))["keep"])
