@@ -37,7 +37,7 @@ from plumbline.llm import cluster, kernel
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SUB_BATCH = 1 << 20
 #: Distinct slices that a worker remembers; beyond it starts afresh, which changes no result.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 200_000
 
 # states: what the slice in progress is
 LETTER, NUMBER, OTHER, ONE_MORE, TWO_MORE, DONE, SPACE, PREFIX = range(8)
