@@ -2,11 +2,15 @@
 
 A softmax regression on hashed words, fitted to labelled documents, gives each document its
 posterior over the domains. Document rates r >= 0 are then sought for which the expected
-tokens of domain k, the sum of r * tokens * posterior, match that domain's target. The
-least-squares problem, each domain's error scaled by its size, is solved by projected
-gradient descent with momentum: in the metric that weighs a document by its tokens the Hessian's largest eigenvalue is 1, so
-the step is 1. A step needs from the cluster only the expected tokens by domain, one small row for each batch;
-rates are replayed from the history of gradients and never stored or joined.
+tokens of domain k, the sum of r * tokens * posterior, match that domain's target, and of these
+the rates closest to 1, squares weighed by tokens. They are max(0, 1 - posterior . price) for one price a domain,
+found by Newton's method on the dual problem: a step needs from the cluster only sums by
+domain and pair of domains, for several step lengths at once, and rates are never stored or joined.
+
+Steps go on until every domain is within TOLERANCE. Targets that no rates can meet are
+told by a certificate (prices that no document is paid for, though the targets would be); the rates then minimise
+the squared errors, each scaled by its domain's size, to within 1 %, the column `gap` holds the largest error left as a share
+of the mixed tokens, and a warning says so. Where neither is reached, an error is raised.
 
 Training takes at most `per_domain` labelled rows of each domain. Totals and rates cover all rows.
 
@@ -18,6 +22,7 @@ each. Only doc_id, text, quality and toxic are read.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -114,45 +119,82 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_domain: int = 600) -
     return [(r[0], r[2]) for r in sorted(rows)], shares
 
 
-def replay(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """Rates after the gradient steps so far, from 1."""
-    r = at = np.ones(len(p))
-    for k, g in enumerate(history):
-        # Nesterov's momentum: the next gradient is taken at `at`
-        before, r = r, np.maximum(0.0, at - p @ g)
-        at = np.maximum(0.0, r + k / (k + 3) * (r - before))
-    return at
+@dataclass
+class Rates:
+    prices: np.ndarray
+    #: Largest error of a domain, as a share of the mixed tokens.
+    gap: float
+    #: Passes over the posteriors.
+    passes: int
+
+    def of(self, p: np.ndarray) -> np.ndarray:
+        return np.maximum(0.0, 1.0 - p @ self.prices)
 
 
-def _totals(posts: DataFrame, history: list[np.ndarray], m: int) -> np.ndarray:
-    """Expected tokens by domain at the current rates."""
+def _sums(posts: DataFrame, prices: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """At each of the prices: half the sum of tokens * rate ** 2; expected tokens by domain; those of rows with a rate above 0 by pair of domains; the least posterior . (price - centre) of a row with tokens."""
+    c, m = prices.shape
+    width = 2 + m + m * m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(m)
+        total, least = np.zeros((c, width)), np.full(c, np.inf)
         for b in batches:
-            p = b["p"].flatten().to_numpy().reshape(-1, m)
-            total += (replay(p, history) * b["n"].to_numpy()) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(m)), pa.array(total)], ["k", "v"])
-
-    out = np.zeros(m)
-    for k, v in posts.mapInArrow(run, "k bigint, v double").groupBy("k").agg(F.sum("v")).collect():
-        out[k] = v
-    return out
-
-
-def solve(posts: DataFrame, targets: np.ndarray, budget: float = BUDGET, most_steps: int = 60) -> list[np.ndarray]:
-    """History of gradient steps; posts: tokens n and posteriors p of every document."""
-    m, history = len(targets), []
-    mass = _totals(posts, history, m)
+            p, n = b["p"].flatten().to_numpy().reshape(-1, m), b["n"].to_numpy()
+            p, n = p[n > 0], n[n > 0].astype(np.float64)
+            if not len(n):
+                continue
+            for j in range(c):
+                r = np.maximum(0.0, 1.0 - p @ prices[j])
+                total[j, 0] += (n * r) @ r / 2
+                total[j, 2 : 2 + m] += (n * r) @ p
+                total[j, 2 + m :] += (p.T @ (p * (n * (r > 0))[:, None])).ravel()
+                least[j] = min(least[j], (p @ (prices[j] - centre)).min())
+        total[:, 1] = least
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(c * width)), pa.array(total.ravel())], ["k", "v"])
+
+    out = np.zeros(c * width)
+    for k, v, least in posts.mapInArrow(run, "k bigint, v double").groupBy("k").agg(F.sum("v"), F.min("v")).collect():
+        out[k] = least if k % width == 1 else v
+    out = out.reshape(c, width)
+    return out[:, 0], out[:, 2 : 2 + m], out[:, 2 + m :].reshape(c, m, m), out[:, 1]
+
+
+def solve(posts: DataFrame, targets: np.ndarray, budget: float = BUDGET, most_steps: int = 300) -> Rates:
+    """Prices of the domains; posts: tokens n and posteriors p of every document."""
+    m = len(targets)
+    prices, centre, ease = np.zeros(m), np.zeros(m), 1e-6
+    _, tokens, pairs, least = (x[0] for x in _sums(posts, prices[None], centre))
+    mass = tokens
+    if not mass.sum():
+        return Rates(prices, 0.0, 1)
     goal = targets / targets.sum() * mass.sum() * budget
-    now = mass
-    for _ in range(most_steps):
-        gap = now - goal
-        if not mass.sum() or np.abs(gap).max() <= TOLERANCE * goal.sum():
-            break
-        history.append(np.where(mass > 0, gap / np.maximum(mass, 1e-300), 0.0))
-        now = _totals(posts, history, m)
-    return history
+    scale = np.maximum(mass, 1e-12 * mass.sum())
+
+    def found(passes: int) -> Rates:
+        return Rates(prices, float(np.abs(tokens - goal).max() / goal.sum()), passes)
+
+    for passes in range(1, most_steps + 1):
+        if np.abs(tokens - goal).max() <= TOLERANCE * goal.sum():
+            return found(passes)
+        # the dual of: squared errors / scale + ease * tokens * (rate - 1) ** 2, the former shifted by the prices at the centre
+        slope = goal - tokens + ease * scale * (prices - centre)
+        if np.abs(slope).max() <= 1e-3 * TOLERANCE * goal.sum():
+            # no rates get closer than `bound` if no row has a negative product with `way`
+            way = prices - centre + max(0.0, -least)
+            bound = -(goal @ way) / np.sqrt((scale * way * way).sum())
+            if bound >= 0.99 * np.sqrt(((tokens - goal) ** 2 / scale).sum()):
+                rates = found(passes)
+                warnings.warn(f"mixing: no rates meet the targets; the largest error is {rates.gap:.2g} of the mixed tokens", stacklevel=3)
+                return rates
+            centre, ease = prices, max(1e-9, ease / 10)
+            slope = goal - tokens
+        step = np.linalg.solve(pairs + ease * np.diag(scale), -slope)
+        tried = prices + 4.0 ** -np.arange(16)[:, None] * step
+        sums = _sums(posts, tried, centre)
+        best = int(np.argmin(sums[0] + tried @ goal + ease / 2 * ((tried - centre) ** 2) @ scale))
+        prices = tried[best]
+        _, tokens, pairs, least = (x[best] for x in sums)
+    raise RuntimeError(f"mixing rates did not settle in {most_steps} passes; the largest error is {found(most_steps).gap:.2g} of the mixed tokens")
 
 
 def posterior_udf(model: Classifier):
@@ -170,11 +212,11 @@ def posterior_udf(model: Classifier):
     return F.arrow_udf(run, "struct<n:bigint,p:array<double>>")
 
 
-def rate_udf(history: list[np.ndarray]):
+def rate_udf(rates: Rates):
     """Column function: posteriors -> rate."""
 
     def run(p: pa.Array) -> pa.Array:
-        return pa.array(replay(p.flatten().to_numpy().reshape(len(p), -1) if len(p) else np.zeros((0, 1)), history if len(p) else []), pa.float64())
+        return pa.array(rates.of(p.flatten().to_numpy().reshape(len(p), -1)) if len(p) else [], pa.float64())
 
     run.__annotations__ = {"p": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "double")
@@ -187,19 +229,19 @@ def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budge
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, **sample) -> DataFrame:
-    """doc_id, tokens, the posterior of each domain and rate, a row for each row of docs."""
+    """doc_id, tokens, the posterior of each domain, rate and gap, the largest error left in any domain, a row for each row of docs."""
     cluster.bounded_batches(docs.sparkSession)
-    _, posts, history = _fitted(docs, labels, targets, budget, **sample)
-    return posts.select("doc_id", F.col("n").alias("tokens"), *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), rate_udf(history)(F.col("p")).alias("rate"))
+    _, posts, rates = _fitted(docs, labels, targets, budget, **sample)
+    return posts.select("doc_id", F.col("n").alias("tokens"), *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), rate_udf(rates)(F.col("p")).alias("rate"), F.lit(rates.gap).alias("gap"))
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, **sample) -> DataFrame:
     """Rows of docs, each as many times as its rate, the fraction decided by a hash of doc_id, with the columns of docs. An empty text stays out."""
     cluster.bounded_batches(docs.sparkSession)
-    model, _, history = _fitted(docs, labels, targets, budget, **sample)
+    model, _, rates = _fitted(docs, labels, targets, budget, **sample)
     chance = F.pmod(F.xxhash64(docs["doc_id"].cast("bigint"), F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     post = posterior_udf(model)(docs["text"].cast("string"))
     kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), post.alias("__post"), chance.alias("__u"))
-    kept = kept.select("__row", "__u", F.when(F.col("__post.n") > 0, rate_udf(history)(F.col("__post.p"))).otherwise(0.0).alias("__rate"))
+    kept = kept.select("__row", "__u", F.when(F.col("__post.n") > 0, rate_udf(rates)(F.col("__post.p"))).otherwise(0.0).alias("__rate"))
     copies = (F.floor("__rate") + (F.col("__u") < F.col("__rate") - F.floor("__rate")).cast("int")).cast("int")
     return kept.where(copies > 0).select("__row", F.explode(F.sequence(F.lit(1), copies)).alias("__copy")).select("__row.*")

@@ -230,6 +230,34 @@ def test_rates_meet_targets(spark):
     assert right > 0.85 * 150
 
 
+@pytest.mark.parametrize("shares, sharp", [((0.05, 0.9, 0.05), 3.0), ((0.02, 0.97, 0.01), 6.0), ((0.3, 0.6, 0.1), 1.0)])
+def test_rates_meet_targets_of_skewed_sources(spark, shares, sharp):
+    rng = np.random.default_rng(3)
+    d = rng.choice(3, 2000, p=shares)
+    z = rng.normal(size=(2000, 3)) + sharp * np.eye(3)[d] + np.log(shares)
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    n = rng.integers(5, 400, 2000)
+    posts = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n bigint, p array<double>")
+    targets = np.array([mixing.TARGETS[x] for x in mixing.DOMAINS])
+    rates = mixing.solve(posts, targets)
+    got = posts.select("n", "p", mixing.rate_udf(rates)(F.col("p")).alias("r")).collect()
+    mixed = sum(x.r * x.n * np.array(x.p) for x in got)
+    assert min(x.r for x in got) >= 0
+    assert np.abs(mixed - targets * mixing.BUDGET * n.sum()).max() <= 1.01 * mixing.TOLERANCE * mixing.BUDGET * n.sum()
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    p = [(10, [0.5, 0.4, 0.1]), (30, [0.6, 0.35, 0.05]), (0, [0.0, 0.0, 1.0])]  # no tokens of a row with as much as 0.2 of the last
+    posts = spark.createDataFrame(p, "n bigint, p array<double>")
+    with pytest.warns(UserWarning, match="no rates meet"):
+        rates = mixing.solve(posts, np.array([0.5, 0.3, 0.2]))
+    assert rates.gap > 0.05
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    with pytest.warns(UserWarning, match="no rates meet"):
+        out = mixing.mix(docs_of(spark, [(1, "a b c", "en"), (2, "d e", "en")]), none).collect()
+    assert all(x.gap == pytest.approx(0.86 - 1 / 3, abs=1e-3) for x in out)
+
+
 def test_mixing_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     df = docs_of(spark, ODD, **CLASH)
