@@ -1,15 +1,16 @@
 """Operator 9, language identification by bit-sliced Bloom filters.
 
 One Bloom filter per language over the same hash functions, stored sliced: cell i
-holds a word whose bit l is bit i of language l's filter. And-ing the cells of an
+holds a word whose bit l is bit i of language l's filter, or as many words of 64 bits as
+the languages need. And-ing the cells of an
 n-gram's hashes therefore gives, in one pass, the set of all languages that may
 contain it. A document's n-grams are counted per language (the popcount of that
 bit over its masks), the expected false positives of each filter are taken off,
 and the language with the largest share decides.
 
 The filters are filled from a sample of labelled rows, at most `per_language`
-of each language; everything else reads all rows. Their size is a parameter, so what is sent to the
-workers does not grow with the data.
+of each language; everything else reads all rows. A filter's size is a parameter, so what is sent to the
+workers grows with the number of labels, by half a megabyte each, and not with the rows.
 
 Defined cases: a null, empty or letterless text has no n-grams and gets no
 language (null) and `keep` false; so has a text in which too few n-grams belong to
@@ -36,6 +37,7 @@ SIZES = (3, 4)
 @dataclass
 class Filters:
     languages: list[str]
+    #: Of more than 64 languages, a row of words for each cell.
     cells: np.ndarray
     hashes: int
     false_positive: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -95,14 +97,19 @@ def _cells(keys: np.ndarray, size: int, hashes: int):
             yield ((h + np.uint64(k) * step) >> np.uint64(20)) & np.uint64(size - 1)
 
 
+def _word(cells: np.ndarray, bit: int) -> np.ndarray:
+    """Of every cell, the word that holds the bit."""
+    return cells if cells.ndim == 1 else cells[:, bit // 64]
+
+
 def fit(sample: list[tuple[str, str]], bits: int = 22, hashes: int = 3, least: int = 3, ratio: float = 0.25) -> Filters:
     """Filters of 2 ** bits cells from (language, text) rows. An n-gram belongs to a language where it occurs `least` times and at a rate of at least `ratio` of that in the language where it is most frequent."""
     by: dict[str, list[str]] = {}
     for language, text in sample:
         by.setdefault(language, []).append(text)
-    languages = sorted(by)[:64]
-    width = next(t for n, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(languages) <= n)
-    cells = np.zeros(1 << bits, width)
+    languages = sorted(by)
+    width = next((t for n, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32)) if len(languages) <= n), np.uint64)
+    cells = np.zeros(1 << bits if len(languages) <= 64 else (1 << bits, -(-len(languages) // 64)), width)
     counted = []
     for language in languages:
         keys = np.concatenate([grams(sub)[0] for _, _, sub in kernel.sub_batches(pa.array(by[language], pa.large_string()))] or [np.zeros(0, np.uint64)])
@@ -117,8 +124,8 @@ def fit(sample: list[tuple[str, str]], bits: int = 22, hashes: int = 3, least: i
         for bit, (k, rate, often) in enumerate(counted):
             chosen = k[often & (rate >= ratio * top[np.searchsorted(every, k)])]
             for at in _cells(chosen, len(cells), hashes):
-                np.bitwise_or.at(cells, at.astype(np.int64), width(1 << bit))
-    filled = np.array([np.count_nonzero(cells & width(1 << b)) / len(cells) for b in range(len(languages))])
+                np.bitwise_or.at(_word(cells, bit), at.astype(np.int64), width(1 << bit % 64))
+    filled = np.array([np.count_nonzero(_word(cells, b) & width(1 << b % 64)) / len(cells) for b in range(len(languages))])
     return Filters(languages, cells, hashes, filled**hashes)
 
 
@@ -134,7 +141,7 @@ def shares(arr: pa.Array, filters: Filters) -> tuple[np.ndarray, np.ndarray]:
         mask = filters.cells[at] if mask is None else mask & filters.cells[at]
     counts = np.zeros((n, m))
     for bit in range(m):
-        hit = (mask >> mask.dtype.type(bit)) & mask.dtype.type(1)
+        hit = (_word(mask, bit) >> mask.dtype.type(bit % 64)) & mask.dtype.type(1)
         counts[:, bit] = np.bincount(rows[hit.astype(bool)], minlength=n)[:n]
     fp = filters.false_positive
     with np.errstate(divide="ignore", invalid="ignore"):

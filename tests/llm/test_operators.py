@@ -415,6 +415,16 @@ def test_language_accuracy_and_rejects(spark):
     assert langid.identify(unlabelled).first().keep is False and langid.keep_identified(unlabelled).count() == 0
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    r = random.Random(12)
+    syllables = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(5)] for k in range(140)}
+    rows = [(i, " ".join("".join(r.choice(syllables[lg]) for _ in range(r.randint(1, 3))) for _ in range(40)), lg) for i, lg in enumerate(list(syllables) * 4)]
+    df = docs_of(spark, rows)
+    got = {x.doc_id: x.lang_id for x in langid.identify(df).collect()}
+    assert sum(got[i] == lg for i, _, lg in rows) >= 0.97 * len(rows)
+    assert langid.keep_identified(df).count() == sum(x is not None for x in got.values())
+
+
 def test_filters_hold_what_was_put_in():
     sample = [(lg, t) for _, t, lg in _languages(random.Random(1))]
     f = langid.fit(sample, bits=14, least=1, ratio=0.0)
