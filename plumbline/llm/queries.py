@@ -36,7 +36,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
+    return lm.score(_table(spark, sf_dir, "documents"), id_column="doc_id")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

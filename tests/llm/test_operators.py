@@ -307,6 +307,29 @@ def test_lm_scores_match_brute_force(spark, shard_words):
     assert got == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("shard_words", [40, 10_000])
+def test_every_document_is_scored_against_all_others(spark, shard_words):
+    r = random.Random(16)
+    corpus = [" ".join(r.choice("abcde") for _ in range(r.randint(0, 30))) for _ in range(25)] + [None, "", "q r s q r s"] + ["a b c d e f g h i j k l m n o p " * 6] * 2 + ["a b c d e f g h i j k l m n o p " * 3 + "z"]
+    got = {x.doc_id: x for x in lm.score(docs_of(spark, [(i, t, "en") for i, t in enumerate(corpus)], **CLASH), id_column="doc_id", shard_words=shard_words, pass_bytes=200).collect()}
+    for i, t in enumerate(corpus):
+        n, p, c = _brute_score(t or "", corpus[:i] + corpus[i + 1 :])
+        assert (got[i].n_words, got[i].mean_context) == (n, c) and got[i].log_prob == pytest.approx(p, abs=1e-8)
+
+
+def test_a_long_context_with_another_end_has_a_finite_score(spark):
+    text = " ".join(f"w{k}" for k in range(1500))
+    got = lm.score(docs_of(spark, [(1, text + " x", "en"), (2, text + " y", "en")]), id_column="doc_id").first()
+    assert got.mean_context == pytest.approx(1500 / 1501 * 1501 / 2, rel=1e-9) and -1500 < got.log_prob < -1500 * math.log(2)
+
+
+def test_op7_scores_the_documents(spark):
+    from plumbline.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    assert queries.op7_lm_scoring(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
 def test_lm_empty(spark):
     texts = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
     none = docs_of(spark, [])
