@@ -3,7 +3,7 @@
 Each document gets a 256-bit SimHash of its word 3-grams. A forest of tries holds
 the signatures with their bits permuted, a different permutation in each trie. Two
 documents at the radius share the first d bits of a trie with probability
-(1 - radius / 256) ** d, so the number of tries that the target recall asks for
+C(256 - radius, d) / C(256, d), as no bit is drawn twice, so the number of tries that the target recall asks for
 follows from d; d follows from the number of documents, which keeps the share of
 documents in a node, and so the work, in check as data grow.
 
@@ -108,8 +108,8 @@ def signature_udf():
 def plan(n: int, radius: int = RADIUS, recall: float = RECALL, node: int = NODE) -> tuple[int, int]:
     """Shallowest depth and number of tries for n signatures."""
     depth = max(4, min(48, math.ceil(math.log2(max(1, n) / node))))
-    p = (1 - radius / BITS) ** depth
-    return depth, math.ceil(math.log(1 - recall) / math.log(1 - p))
+    p = math.comb(BITS - radius, depth) / math.comb(BITS, depth)
+    return depth, math.ceil(math.log(1 - recall) / math.log1p(-p))
 
 
 def permutations(tries: int, seed: int = 7) -> np.ndarray:

@@ -396,6 +396,14 @@ def test_forest_recall_at_many_documents():
     assert hits / n >= 0.88
 
 
+@pytest.mark.parametrize("n", [1000, 200_000, 2_000_000, 8_000_000, 50_000_000])
+def test_plan_meets_its_recall(n):
+    """The exact chance that a pair at the radius shares a node of any trie."""
+    depth, tries = neardup.plan(n)
+    p = math.comb(neardup.BITS - neardup.RADIUS, depth) / math.comb(neardup.BITS, depth)
+    assert 1 - (1 - p) ** tries >= neardup.RECALL
+
+
 def test_near_duplicates_odd_rows(spark):
     df = docs_of(spark, ODD + [(20, "the same words twice", "en"), (21, "ONE", "en")], **CLASH)
     got = {x.doc_id: x.duplicate_of for x in neardup.duplicates(df).collect()}
