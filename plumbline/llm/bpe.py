@@ -294,8 +294,7 @@ def decode_udf(file: bytes):
         enc = encoder(file)
         return pa.array([None if x is None else enc.decode(np.asarray(x, np.int64)).tobytes().decode("utf-8", "replace") for x in tokens.to_pylist()], pa.string())
 
-    run.__annotations__ = {"tokens": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "string")
+    return cluster.arrow_column(run, "string")
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -314,6 +313,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 bounds = pa.array(rows.astype(np.int32), mask=np.append(none, False))
                 lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (ids, offsets)]
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), *lists, pa.array(np.diff(rows).astype(np.int32), mask=none), pa.array(fine, mask=none)], ["doc_id", "tokens", "offsets", "n_tokens", "round_trip"])
+                del ids, offsets, rows, fine, bounds, lists
+                kernel.release()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

@@ -4,38 +4,81 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm import kernel
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors, from spark.checkpoint.dir; only where that is unset, as in tests, a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="plumbline-")
-    return folder
+    """The folder shared by all executors, from spark.checkpoint.dir. Only where that is unset and all runs in one process, as in tests, a local one; on a cluster an error is raised."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="plumbline-")
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def fresh_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/plumbline-{kind}-{uuid.uuid4().hex}"
+    there, system = _hadoop_path(spark, path)
+    system.mkdirs(there)
+    system.deleteOnExit(there)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    there, system = _hadoop_path(spark, path)
+    system.delete(there, True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read again: its lineage ends there, so lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/plumbline-{uuid.uuid4().hex}"
+    path = f"{fresh_folder(spark, 'table')}/t"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bounds of what a task holds of a table of texts at once. With Spark's own (10,000 rows to Python, column vectors of 4,096 rows) long texts take much of an executor's memory.
+BOUNDS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Texts go to the Python workers in batches of 4 MB or 2000 rows, or one row, for this session, unless it has bounds of its own: with 10,000 rows of long texts, batches take much of an executor's memory outside the heap. No result depends on it."""
-    for key, value in ((ARROW_BYTES, str(4 << 20)), (ARROW_ROWS, "2000")):
+    """Texts are read 512 rows at a time and go to the Python workers in batches of 4 MB or 2000 rows, or one row, for this session, unless it has bounds of its own. No result depends on it."""
+    for key, value in BOUNDS.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
 
 
+def arrow_column(run: Callable[[pa.Array], pa.Array], ddl: str):
+    """Column function of one Arrow array. After each batch the worker gives memory back, since workers outlive their tasks."""
+
+    def column(x: pa.Array) -> pa.Array:
+        out = run(x)
+        kernel.release()
+        return out
+
+    column.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return F.arrow_udf(column, ddl)
+
+
 #: Rows up to which a narrow table of chosen ids is broadcast.
 FEW_ROWS = 200_000
 

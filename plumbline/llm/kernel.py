@@ -8,6 +8,7 @@ character. A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import cache
 
@@ -19,6 +20,18 @@ N_CODES = 0x110000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+@cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives memory that is free within this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser."""
     x = x.astype(np.uint64)
@@ -114,7 +127,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers, modulo 2 ** 64, of an odd base and of its inverse."""
     if not _powers or len(_powers[0]) < n:
-        size = max(1 << 20, 1 << int(n).bit_length())
+        size = (n + 0xFFFF) & ~0xFFFF
         _powers[:] = [_power_table(_BASE, size), _power_table(pow(_BASE, -1, 1 << 64), size)]
     return _powers[0][:n], _powers[1][:n]
 

@@ -175,8 +175,7 @@ def identify_udf(filters: Filters, least_share: float = 0.35):
         names = pa.array([filters.languages[b] if k else None for b, k in zip(best, keep, strict=True)], pa.string())
         return pa.StructArray.from_arrays([names, pa.array(share, pa.float64()), pa.array(total, pa.int64()), pa.array(keep, pa.bool_())], ["lang_id", "share", "n_grams", "keep"])
 
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, ddl)
+    return cluster.arrow_column(run, ddl)
 
 
 def identify(docs: DataFrame, label: str = "lang", least_share: float = 0.35, **sample) -> DataFrame:

@@ -12,12 +12,16 @@ told by a certificate (prices that no document is paid for, though the targets w
 the squared errors, each scaled by its domain's size, to within 1 %, the column `gap` holds the largest error left as a share
 of the mixed tokens, and a warning says so. Where neither is reached, an error is raised.
 
+A domain that has less than LEAST_MASS of all expected tokens, as one without labels, can't be mixed in: its target is
+dropped with a warning and the others keep their proportions and share the whole budget; `gap` is held against the targets as given.
+
 Training takes at most `per_domain` labelled rows of each domain. Totals and rates cover all rows.
 
 Defined cases: a null or empty text has 0 tokens and gets the posterior of the regression's intercepts; it doesn't
 count towards totals. Rows with labels that are null, or of no document, are not trained on. With no labelled rows
 the posterior is uniform. An empty table gives an empty result. Repeated rows count
-each. Only doc_id, text, quality and toxic are read.
+each. Ids may be of any type. The fraction of a rate is decided by a hash of doc_id and text, so rows equal in both
+are kept or left out together. Only doc_id, text, quality and toxic are read; columns with other names are passed through.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import cluster, kernel
@@ -41,6 +45,8 @@ BUDGET = 0.6
 BUCKETS = 4096
 #: Largest error of a domain, as a share of the mixed tokens.
 TOLERANCE = 1e-4
+#: Share of all expected tokens below which a domain takes no part.
+LEAST_MASS = 1e-4
 
 
 @dataclass
@@ -167,13 +173,22 @@ def solve(posts: DataFrame, targets: np.ndarray, budget: float = BUDGET, most_st
     mass = tokens
     if not mass.sum():
         return Rates(prices, 0.0, 1)
-    goal = targets / targets.sum() * mass.sum() * budget
+    given = targets / targets.sum() * mass.sum() * budget
+    live = mass >= LEAST_MASS * mass.sum()
+    if not (live & (targets > 0)).any():
+        raise ValueError("mixing: no domain with a target has any tokens")
+    goal = np.where(live, given, 0.0)
+    goal *= given.sum() / goal.sum()
+    if (given[~live] > 0).any():
+        warnings.warn(f"mixing: no tokens in {int((given[~live] > 0).sum())} of the domains; their share goes to the others", stacklevel=3)
     scale = np.maximum(mass, 1e-12 * mass.sum())
 
     def found(passes: int) -> Rates:
-        return Rates(prices, float(np.abs(tokens - goal).max() / goal.sum()), passes)
+        return Rates(prices, float(np.abs(every - given).max() / given.sum()), passes)
 
     for passes in range(1, most_steps + 1):
+        # domains that take no part have no price and no error
+        every, tokens = tokens, np.where(live, tokens, 0.0)
         if np.abs(tokens - goal).max() <= TOLERANCE * goal.sum():
             return found(passes)
         # the dual of: squared errors / scale + ease * tokens * (rate - 1) ** 2, the former shifted by the prices at the centre
@@ -188,7 +203,8 @@ def solve(posts: DataFrame, targets: np.ndarray, budget: float = BUDGET, most_st
                 return rates
             centre, ease = prices, max(1e-9, ease / 10)
             slope = goal - tokens
-        step = np.linalg.solve(pairs + ease * np.diag(scale), -slope)
+        step = np.zeros(m)
+        step[live] = np.linalg.solve((pairs + ease * np.diag(scale))[np.ix_(live, live)], -slope[live])
         tried = prices + 4.0 ** -np.arange(16)[:, None] * step
         sums = _sums(posts, tried, centre)
         best = int(np.argmin(sums[0] + tried @ goal + ease / 2 * ((tried - centre) ** 2) @ scale))
@@ -208,40 +224,37 @@ def posterior_udf(model: Classifier):
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * m, pa.int32()), pa.array(p.ravel()))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), lists], ["n", "p"])
 
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "struct<n:bigint,p:array<double>>")
-
-
-def rate_udf(rates: Rates):
-    """Column function: posteriors -> rate."""
+    return cluster.arrow_column(run, "struct<n:bigint,p:array<double>>")
 
-    def run(p: pa.Array) -> pa.Array:
-        return pa.array(rates.of(p.flatten().to_numpy().reshape(len(p), -1)) if len(p) else [], pa.float64())
 
-    run.__annotations__ = {"p": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "double")
+def rate_column(p: Column, rates: Rates) -> Column:
+    """Posteriors -> rate."""
+    paid = F.lit(1.0)
+    for k, price in enumerate(rates.prices):
+        paid = paid - p[k] * F.lit(float(price))
+    return F.greatest(F.lit(0.0), paid)
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float, **sample):
+def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float, keep: list[Column], **sample) -> tuple[DataFrame, Rates]:
+    """The columns to keep with tokens n and posteriors p of every row, written; rates."""
+    cluster.bounded_batches(docs.sparkSession)
     model = fit(*labelled_sample(docs, labels, **sample))
-    posts = cluster.written(docs.select("doc_id", posterior_udf(model)(F.col("text").cast("string")).alias("m")).select("doc_id", "m.n", "m.p"))
-    return model, posts, solve(posts, np.array([targets[d] for d in DOMAINS]), budget)
+    posts = docs.select(*keep, posterior_udf(model)(docs["text"].cast("string")).alias("__post"))
+    posts = cluster.written(posts.select(*[c for c in posts.columns if c != "__post"], F.col("__post.n").alias("n"), F.col("__post.p").alias("p")))
+    return posts, solve(posts.select("n", "p"), np.array([targets[d] for d in DOMAINS]), budget)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, **sample) -> DataFrame:
     """doc_id, tokens, the posterior of each domain, rate and gap, the largest error left in any domain, a row for each row of docs."""
-    cluster.bounded_batches(docs.sparkSession)
-    _, posts, rates = _fitted(docs, labels, targets, budget, **sample)
-    return posts.select("doc_id", F.col("n").alias("tokens"), *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), rate_udf(rates)(F.col("p")).alias("rate"), F.lit(rates.gap).alias("gap"))
+    posts, rates = _fitted(docs, labels, targets, budget, [docs["doc_id"]], **sample)
+    return posts.select("doc_id", F.col("n").alias("tokens"), *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), rate_column(F.col("p"), rates).alias("rate"), F.lit(rates.gap).alias("gap"))
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, **sample) -> DataFrame:
-    """Rows of docs, each as many times as its rate, the fraction decided by a hash of doc_id, with the columns of docs. An empty text stays out."""
-    cluster.bounded_batches(docs.sparkSession)
-    model, _, rates = _fitted(docs, labels, targets, budget, **sample)
-    chance = F.pmod(F.xxhash64(docs["doc_id"].cast("bigint"), F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    post = posterior_udf(model)(docs["text"].cast("string"))
-    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), post.alias("__post"), chance.alias("__u"))
-    kept = kept.select("__row", "__u", F.when(F.col("__post.n") > 0, rate_udf(rates)(F.col("__post.p"))).otherwise(0.0).alias("__rate"))
+    """Rows of docs, each as many times as its rate, the fraction decided by a hash of doc_id and text, with the columns of docs. An empty text stays out."""
+    chance = F.pmod(F.xxhash64(docs["doc_id"].cast("string"), docs["text"].cast("string"), F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    keep = [F.struct(*[docs[c] for c in docs.columns]).alias("__row"), chance.alias("__u")]
+    posts, rates = _fitted(docs, labels, targets, budget, keep, **sample)
+    kept = posts.select("__row", "__u", F.when(F.col("n") > 0, rate_column(F.col("p"), rates)).otherwise(0.0).alias("__rate"))
     copies = (F.floor("__rate") + (F.col("__u") < F.col("__rate") - F.floor("__rate")).cast("int")).cast("int")
     return kept.where(copies > 0).select("__row", F.explode(F.sequence(F.lit(1), copies)).alias("__copy")).select("__row.*")

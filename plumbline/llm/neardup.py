@@ -101,8 +101,7 @@ def signature_udf():
             out += [bytes(x) if k else None for x, k in zip(s, ok, strict=True)]
         return pa.array(out, pa.binary())
 
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "binary")
+    return cluster.arrow_column(run, "binary")
 
 
 def plan(n: int, radius: int = RADIUS, recall: float = RECALL, node: int = NODE) -> tuple[int, int]:
@@ -131,8 +130,7 @@ def _prefix_udf(depth: int, tries: int):
             out[:, t] = bits[:, perms[t]] @ weight + (t << depth)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * tries, pa.int32()), pa.array(out.ravel()))
 
-    run.__annotations__ = {"sigs": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<bigint>")
+    return cluster.arrow_column(run, "array<bigint>")
 
 
 def _join(lab: np.ndarray, idx: np.ndarray, sig: np.ndarray, radius: int) -> None:

@@ -120,8 +120,7 @@ def repetition_udf(limits: dict[int, float] = NGRAM_LIMITS, line_char_limit: flo
             keep &= out[f"dup_{k}"] <= most
         return pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip([*out.values(), keep], columns, strict=True)], [c for c, _ in columns])
 
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, ddl)
+    return cluster.arrow_column(run, ddl)
 
 
 def repetition(docs: DataFrame, **limits) -> DataFrame:

@@ -187,8 +187,7 @@ def score_udf(words: dict[str, float], stems: dict[str, float], least_score: flo
         total, hits, s = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(3))
         return pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(hits, pa.int64()), pa.array(s, pa.float64()), pa.array((s >= least_score) & (hits > 0), pa.bool_())], ["n_words", "hits", "score", "toxic"])
 
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "struct<n_words:bigint,hits:bigint,score:double,toxic:boolean>")
+    return cluster.arrow_column(run, "struct<n_words:bigint,hits:bigint,score:double,toxic:boolean>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame | None = None, least_score: float = LEAST_SCORE, **sample) -> DataFrame:

@@ -240,7 +240,7 @@ def test_rates_meet_targets_of_skewed_sources(spark, shares, sharp):
     posts = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n bigint, p array<double>")
     targets = np.array([mixing.TARGETS[x] for x in mixing.DOMAINS])
     rates = mixing.solve(posts, targets)
-    got = posts.select("n", "p", mixing.rate_udf(rates)(F.col("p")).alias("r")).collect()
+    got = posts.select("n", "p", mixing.rate_column(F.col("p"), rates).alias("r")).collect()
     mixed = sum(x.r * x.n * np.array(x.p) for x in got)
     assert min(x.r for x in got) >= 0
     assert np.abs(mixed - targets * mixing.BUDGET * n.sum()).max() <= 1.01 * mixing.TOLERANCE * mixing.BUDGET * n.sum()
@@ -258,6 +258,26 @@ def test_targets_out_of_reach_are_reported(spark):
     assert all(x.gap == pytest.approx(0.86 - 1 / 3, abs=1e-3) for x in out)
 
 
+def test_budget_holds_when_domains_have_no_tokens(spark):
+    rng = np.random.default_rng(5)
+    p = np.zeros((400, 3))
+    p[:, 0], p[:, 1] = 1 - 1e-6, 1e-6
+    n = rng.integers(1, 90, 400)
+    posts = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n bigint, p array<double>")
+    with pytest.warns(UserWarning, match="2 of the domains"):
+        rates = mixing.solve(posts, np.array([0.86, 0.08, 0.06]), 0.6)
+    assert abs((n * rates.of(p)).sum() / (0.6 * n.sum()) - 1) < 1e-3 and 0.13 < rates.gap < 0.15
+
+
+def test_mixing_ids_of_any_type(spark):
+    docs = docs_of(spark, [(i, f"word{i % 7} other text {i}", "en") for i in range(60)]).withColumn("doc_id", F.concat(F.lit("urn:uuid:"), F.col("doc_id").cast("string")))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("text").contains("word3")).cast("int").alias("toxic"), F.lit("z").alias("text"))
+    with pytest.warns(UserWarning):
+        assert mixing.mix(docs, labels).count() == 60
+        kept = mixing.apply_mix(docs, labels)
+    assert kept.columns == docs.columns and kept.join(docs, "doc_id", "left_anti").count() == 0
+
+
 def test_mixing_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     df = docs_of(spark, ODD, **CLASH)
