@@ -12,7 +12,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+    """Queries are the rows whose id is divisible by 20; they are searched among all rows."""
+    v = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(v, queries=v.where("vec_id % 20 = 0"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_sharding, op3_warc_revis
 ORACLE_SQL = {
     "op1_exact_top_k": """
         with v as (select vec_id, embedding::double[] e from embeddings where vec_id is not null and embedding is not null),
-        s as (select a.vec_id, b.vec_id as neighbor_id, list_dot_product(a.e, b.e) s from v a join v b on a.vec_id <> b.vec_id),
+        s as (select a.vec_id, b.vec_id as neighbor_id, list_dot_product(a.e, b.e) s from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
         r as (select vec_id, neighbor_id, row_number() over (partition by vec_id order by s desc, neighbor_id) as rank from s)
         select vec_id, neighbor_id, rank::int as rank from r where rank <= 10""",
     "op2_sharding": """

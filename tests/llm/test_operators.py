@@ -60,7 +60,11 @@ def test_sub_batches_cover_everything():
 # --- 1
 
 
-def test_top_k_is_exact(spark):
+@pytest.mark.parametrize("blocks", [None, (32, 2)])
+def test_top_k_is_exact(spark, blocks, monkeypatch):
+    if blocks:  # many blocks: floors from a first pass
+        monkeypatch.setattr(topk, "CORPUS_BLOCK", blocks[0])
+        monkeypatch.setattr(topk, "MANY_BLOCKS", blocks[1])
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 24))
     x[40] = x[41] = x[42]  # ties
@@ -79,23 +83,37 @@ def test_bit_slices_add_up(seed):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(130, 9))
     index, q = topk.Index(x), rng.normal(size=9)
-    slices, unit, error = index.add(q)
+    slices, unit, zero, error = index.add(q)
     total = sum(np.unpackbits(s.view(np.uint8), bitorder="little")[:130].astype(np.int64) << p for p, s in enumerate(slices))
     gap = x @ q - unit * total
-    assert gap.max() - gap.min() <= 2 * error + 1e-9
+    assert np.abs(gap - zero).max() <= error + 1e-9
     assert index.kth(slices, 5) == np.sort(total)[-5]
-    assert set(np.argsort(-(x @ q))[:5]) <= set(index.search(q, 5))
+    best = np.argsort(-(x @ q))
+    assert set(best[:5]) <= set(index.search(q, 5))
+    assert set(best[:3]) <= set(index.search(q, 5, float((x @ q)[best[2]])))
 
 
 def test_top_k_odd_rows(spark):
     schema = "vec_id bigint, embedding array<double>, label int"
     assert topk.top_k(spark.createDataFrame([], schema)).count() == 0
     nan = float("nan")
-    rows = [(1, [1.0, 0.0], 0), (2, [0.5, 0.5], 0), (None, [1.0, 1.0], 0), (3, None, 0), (4, [1.0], 0), (5, [nan, 1.0], 0), (6, [None, 1.0], 0), (2, [0.5, 0.5], 0), (7, [0.0, 0.0], None)]
+    inf = float("inf")
+    rows = [(1, [1.0, 0.0], 0), (2, [0.5, 0.5], 0), (None, [1.0, 1.0], 0), (3, None, 0), (4, [1.0], 0), (5, [nan, 1.0], 0), (6, [None, 1.0], 0), (2, [0.5, 0.5], 0), (7, [0.0, 0.0], None), (8, [inf, 1.0], 0), (9, [], 0)]
     got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, schema), 2).collect())
     assert got == sorted([(1, 2, 1), (1, 2, 2), (2, 1, 1), (2, 7, 2), (2, 1, 1), (2, 7, 2), (7, 1, 1), (7, 2, 2)])
 
 
+def test_top_k_of_several_lengths_sizes_and_string_ids(spark):
+    rng = np.random.default_rng(2)
+    short, scale = rng.normal(size=(30, 4)), {0: 1.0, 1: 1e300, 2: 1e-300}
+    for power, by in scale.items():
+        rows = [(f"urn:uuid:{i:03}", (v * by).tolist()) for i, v in enumerate(short)] + [("urn:uuid:long", [by] * 9), ("urn:uuid:longer", [by] * 9)]
+        df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+        got = {(r.vec_id, r["rank"]): r.neighbor_id for r in topk.top_k(df, 3, df.where("vec_id in ('urn:uuid:005', 'urn:uuid:long')")).collect()}
+        want = [j for j in np.argsort(-(short @ short[5])) if j != 5][:3]
+        assert got == {("urn:uuid:005", k + 1): f"urn:uuid:{j:03}" for k, j in enumerate(want)} | {("urn:uuid:long", 1): "urn:uuid:longer"}, power
+
+
 # --- 2
 
 
