@@ -63,41 +63,37 @@ class Index:
         full = np.zeros((x.shape[1], bits, words * 64), np.uint8)
         for b in range(bits):
             full[:, b, : self.n] = ((u.astype(np.int64) >> b) & 1).T
-        self.plus = np.packbits(full, axis=2, bitorder="little").view(np.uint64)
+        plus = np.packbits(full, axis=2, bitorder="little").view(np.uint64)
         all_rows = np.zeros(words * 64, np.uint8)
         all_rows[: self.n] = 1
         self.rows = np.packbits(all_rows, bitorder="little").view(np.uint64)
-        self.minus = ~self.plus & self.rows
+        self.bits = bits
+        #: slice b of coordinate d is row d * bits + b; after all of these come those of top - u, for negative weights
+        self.slices = np.concatenate((plus, ~plus & self.rows)).reshape(2 * x.shape[1] * bits, words)
 
     def add(self, q: np.ndarray, weight_bits: int = WEIGHT_BITS) -> tuple[list[np.ndarray], float, float, float]:
         """Slices of the quantised score, least first; the score of one unit; the score of zero units; the error, in score, of both together."""
         w = q * self.step
         unit = float(np.abs(w).max()) / ((1 << weight_bits) - 1) or 1.0
         whole = np.rint(np.abs(w) / unit).astype(np.int64)
-        piles: list[list[np.ndarray]] = [[] for _ in range(weight_bits + BITS + 16)]
-        for d in np.flatnonzero(whole):
-            source = self.plus[d] if w[d] > 0 else self.minus[d]
-            v = int(whole[d])
-            while v:
-                shift = (v & -v).bit_length() - 1
-                for b in range(len(source)):
-                    piles[shift + b].append(source[b])
-                v &= v - 1
-        out = []
-        for p, pile in enumerate(piles):
-            while len(pile) > 2:
-                a, b, c = pile.pop(), pile.pop(), pile.pop()
-                x = a ^ b
-                pile.append(x ^ c)
-                piles[p + 1].append((a & b) | (x & c))
-            if len(pile) == 2:
-                a, b = pile
-                piles[p + 1].append(a & b)
-                out.append(a ^ b)
-            elif pile:
-                out.append(pile[0])
-            else:
-                out.append(np.zeros_like(self.rows))
+        # the slices to add, by the position of the weight's bit
+        base = (np.arange(len(q)) + np.where(w < 0, len(q), 0)) * self.bits
+        on = [base[(whole >> t) & 1 == 1] for t in range(weight_bits)]
+        out, carried, p = [], [], 0
+        while carried or p < weight_bits + self.bits - 1:
+            pile = [self.slices[on[t] + (p - t)] for t in range(weight_bits) if 0 <= p - t < self.bits] + carried
+            x, carried, p = np.concatenate(pile), [], p + 1
+            # carry-save adders, a third of the pile at once
+            while len(x) > 2:
+                third = len(x) // 3
+                a, b, c = x[:third], x[third : 2 * third], x[2 * third : 3 * third]
+                half = a ^ b
+                carried.append((a & b) | (half & c))
+                x = np.concatenate((half ^ c, x[3 * third :]))
+            if len(x) == 2:
+                carried.append(x[:1] & x[1:])
+                x = x[:1] ^ x[1:]
+            out.append(x[0] if len(x) else np.zeros_like(self.rows))
         while len(out) > 1 and not out[-1].any():
             out.pop()
         lost = np.abs(w) - unit * whole
