@@ -191,7 +191,7 @@ class Engine:
         """Invariants of all modules with tier, static outcome and cache key."""
         ex = specs.exposes(self.specs)
         every = invariants.collect(specs.module_list(self.specs, "invariants").select("module", F.col("value").alias("invariant")), ex)
-        return invariants.checked(every.join(self.located.select("module", F.col("text").alias("code")), "module").where("code is not null"))
+        return invariants.checked(every, self.located.select("module", F.col("text").alias("code")))
 
     def init(self, out: str | None = None) -> list[dict[str, Any]]:
         """Spec skeletons of the sources that have no spec; written under out if given. One record per source file comes to the driver, as files are written there."""

@@ -82,9 +82,3 @@ def import_root(path: Column) -> Column:
 
 
 LOCAL_ROOTS = ("crate", "super", "self", "std", "core", "alloc")
-
-
-def glob_like(text: Column, pattern: Column) -> Column:
-    """Whether pattern, in which _ stands for anything, matches the whole text."""
-    parts = F.transform(F.split(pattern, "_", -1), lambda p: F.concat(F.lit(r"\Q"), p, F.lit(r"\E")))
-    return F.regexp_like(text, F.concat(F.lit("^(?s:"), F.array_join(parts, ".*"), F.lit(")$")))

@@ -35,27 +35,6 @@ class FormulaError(ValueError):
     pass
 
 
-# connectives over true, false and null, null being an error
-
-
-def and_(a: Column, b: Column) -> Column:
-    """Left to right: false decides at once, an error on the left stays."""
-    return F.when(a.isNull(), F.lit(None).cast("boolean")).when(~a, F.lit(False)).otherwise(b)
-
-
-def or_(a: Column, b: Column) -> Column:
-    return F.when(a.isNull(), F.lit(None).cast("boolean")).when(a, F.lit(True)).otherwise(b)
-
-
-def not_(a: Column) -> Column:
-    return ~a
-
-
-def implies(a: Column, b: Column) -> Column:
-    """A false premise makes it true."""
-    return F.when(a.isNull(), F.lit(None).cast("boolean")).when(~a, F.lit(True)).otherwise(b)
-
-
 # parsing
 
 

@@ -18,10 +18,10 @@ def collect(module_level: DataFrame, entities: DataFrame) -> DataFrame:
     return module_level.select("module", "invariant").unionByName(part("requires")).unionByName(part("ensures"))
 
 
-def checked(invariants: DataFrame) -> DataFrame:
-    """The invariants (module, invariant, code) with tier and static, the outcome of the static check on code without tests, strings and comments."""
-    clean = scan.strip_to_code(F.col("code"))
-    return invariants.select("module", "invariant", text.classify_invariant(F.col("invariant")).alias("tier"), text.cache_key(F.col("code"), F.col("invariant")).alias("cache_key"), text.static_result(F.col("invariant"), clean).alias("static"))
+def checked(invariants: DataFrame, sources: DataFrame) -> DataFrame:
+    """The invariants of modules with code, with tier, cache_key and static, the outcome of the static check on code without tests, strings and comments, which is stripped once a module. invariants: module, invariant; sources: module, code."""
+    s = sources.where("code is not null").select(F.col("module").alias("m"), "code", scan.strip_to_code(F.col("code")).alias("clean"))
+    return invariants.join(s, F.col("module") == F.col("m")).select("module", "invariant", text.classify_invariant(F.col("invariant")).alias("tier"), text.cache_key(F.col("code"), F.col("invariant")).alias("cache_key"), text.static_result(F.col("invariant"), F.col("clean")).alias("static"))
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -63,10 +63,19 @@ def detect_pairs(functions: DataFrame) -> DataFrame:
     return want.join(f.select(F.col("module").alias("m"), F.col("name").alias("n")), (F.col("module") == F.col("m")) & (F.col("close_fn") == F.col("n")), "left_semi")
 
 
-def detect_lifecycle(functions: DataFrame) -> DataFrame:
-    """module, init and shutdown: the first of the well-known names that the module has."""
+def lifecycle(functions: DataFrame) -> DataFrame:
+    """module, states, terminal and transitions that names tell of: from `initial` by the first well-known opening function to `ready`, and from there, or from `initial`, by the first closing one to `terminated`. Of modules with neither balanced pairs nor an opening function there is no row. functions: module, name."""
     pick = lambda names: F.try_element_at(F.filter(F.array(*map(F.lit, names)), lambda n: F.array_contains(F.col("all"), n)), F.lit(1))
-    return functions.groupBy("module").agg(F.collect_set("name").alias("all")).select("module", pick(INIT).alias("init"), pick(SHUTDOWN).alias("shutdown"))
+    paired = detect_pairs(functions).select(F.col("module").alias("pm"), F.lit(True).alias("paired")).distinct()
+    named = functions.groupBy("module").agg(F.collect_set("name").alias("all")).select("module", pick(INIT).alias("up"), pick(SHUTDOWN).alias("down"))
+    f = named.join(paired, F.col("module") == F.col("pm"), "left").where("paired or up is not null")
+    step = lambda a, call, b: F.struct(a.alias("from_state"), F.col(call).alias("call"), F.lit(b).alias("to_state"))
+    rest = F.when(F.col("up").isNotNull(), "ready").otherwise("initial")
+    some = lambda c, x: F.when(F.col(c).isNotNull(), x)
+    return f.select(
+        "module", F.array_compact(F.array(F.lit("initial"), some("up", "ready"), some("down", "terminated"))).alias("states"), F.array_compact(F.array(some("down", "terminated"))).alias("terminal"),
+        F.array_compact(F.array(some("up", step(F.lit("initial"), "up", "ready")), some("down", step(rest, "down", "terminated")))).alias("transitions"),
+    )
 
 
 def all_checks(protocols: DataFrame, items: DataFrame, transitions: DataFrame, pairs: DataFrame, functions: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+INVARIANTS = ("it never panics", "No Unwrap anywhere", "no unsafe code", "open: requires a path", "close: ensures no panic", "returns Result", "never unwraps", "total is constant", "NO PANIC on input", "order is kept", "never unsafe", "returns error early")
+
 ROLES: dict[str, str] = {
     # graphs
     "modules": """select concat('m', cast(p_partkey as string)) as module, concat('src/', p_brand, '/m', cast(p_partkey as string), '.rs') as source_path, p_brand as context, 'rust' as language,
@@ -84,9 +86,8 @@ ROLES: dict[str, str] = {
     "member_forbidden": "select concat('r', cast(r_regionkey as string)) as module, concat('n', cast(r_regionkey + 1 as string)) as value from {region}",
     # text
     "specs": "select concat('d', cast(doc_id as string)) as module, text as source_text, case when doc_id % 10 = 0 then 'ffff000011112222' when doc_id % 10 < 9 then left({sha}(text), 16) end as source_hash from {documents}",
-    "invariant_texts": """select 'it never panics' as invariant, 1 as i union all select 'No Unwrap anywhere', 2 union all select 'no unsafe code', 3 union all select 'open: requires a path', 4 union all select 'close: ensures no panic', 5 union all select 'returns Result', 6
-        union all select 'never unwraps', 7 union all select 'total is constant', 8 union all select 'NO PANIC on input', 9 union all select 'order is kept', 10 union all select 'never unsafe', 11 union all select 'returns error early', 12""",
-    "invariants": "select concat('d', cast(l.doc_id as string)) as module, t.invariant, d.text as code from {labels} l join {documents} d on d.doc_id = l.doc_id cross join {invariant_texts} t",
+    "invariant_texts": " union all ".join(f"select '{x}' as invariant, {i} as i" for i, x in enumerate(INVARIANTS)),
+    "invariants": "select concat('d', cast(d.doc_id as string)) as module, t.invariant, d.text as code from {documents} d cross join {invariant_texts} t",
     "wanted": "select concat('d', cast(doc_id as string)) as module, {sha}(concat(text, '|', 'quality')) as cache_key from {documents}",
     "verdict_cache": "select {sha}(concat(d.text, '|', 'quality')) as cache_key, max(l.quality) = 1 as satisfies from {labels} l join {documents} d on d.doc_id = l.doc_id group by d.text",
     # defaults

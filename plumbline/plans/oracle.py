@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from plumbline.operators import protocol
+from plumbline.plans import snippets
 from plumbline.plans.bind import ctes
+from plumbline.sources import scan
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -117,10 +120,15 @@ _CALLS = "count(*) filter (where not starts_with(line, '//') and not starts_with
 _sql("balanced_pairs", "call_lines event_pairs", f""", n as (select l.module, p.open_fn, p.close_fn, {_CALLS.format('p.open_fn')} as o, {_CALLS.format('p.close_fn')} as c from call_lines l join event_pairs p on p.module = l.module group by all)
     select module, open_fn as subject, 'warning' as severity, case when c = 0 then 'never-closed' when o = 0 then 'never-opened' else 'unbalanced' end as check_id, open_fn || ' ' || o || ', ' || close_fn || ' ' || c as message from n where o <> c""")
 _sql("count_calls", "call_lines", "select module, " + ", ".join(_CALLS.format(f"'{n}'") + f"::bigint as {n}" for n in ("signup", "click", "view", "purchase", "error")) + " from call_lines group by module")
-_VERBS = "['open', 'close', 'acquire', 'release', 'lock', 'unlock', 'connect', 'disconnect', 'begin', 'end']"
-_sql("detect_pairs", "x_functions", f""", k as (select distinct module, substr(name, 2)::int as k from x_functions), f as (select distinct module, case when k % 3 = 0 then 'db_' else '' end || {_VERBS}[k % 10 + 1] as name from k),
-    p as (select {_VERBS}[2 * i + 1] as o, {_VERBS}[2 * i + 2] as c from range(5) t(i))
-    select a.module, a.name as open_fn, b.name as close_fn from f a join p on a.name = o or ends_with(a.name, '_' || o) join f b on b.module = a.module and b.name = left(a.name, length(a.name) - length(o)) || c""")
+_VERBS = str([v for pair in protocol.PAIRS for v in pair])
+_PAIRED = f"""p as (select {_VERBS}[2 * i + 1] as o, {_VERBS}[2 * i + 2] as c from range(10) t(i)),
+    found as (select a.module, a.name as open_fn, b.name as close_fn from f a join p on a.name = o or ends_with(a.name, '_' || o) join f b on b.module = a.module and b.name = left(a.name, length(a.name) - length(o)) || c)"""
+_sql("detect_pairs", "x_functions", f", k as (select distinct module, substr(name, 2)::int as k from x_functions), f as (select distinct module, case when k % 3 = 0 then 'db_' else '' end || {_VERBS}[k % 20 + 1] as name from k), {_PAIRED} select * from found")
+_LIFE = str([*protocol.INIT, *protocol.SHUTDOWN, "run", "open", "close"])
+_sql("detect_lifecycle", "x_functions", f""", f as (select distinct module, {_LIFE}[substr(name, 2)::int % 12 + 1] as name from x_functions), {_PAIRED},
+    n as (select module, list(name) as a from f group by module), u as (select module, list_filter({list(protocol.INIT)}, lambda x: list_contains(a, x))[1] as up, list_filter({list(protocol.SHUTDOWN)}, lambda x: list_contains(a, x))[1] as down from n)
+    select module, 'initial' || case when up is null then '' else ',ready' end || case when down is null then '' else ',terminated' end as states, case when down is null then '' else 'terminated' end as terminal,
+    concat_ws(',', 'initial ' || up || ' ready', case when up is null then 'initial ' else 'ready ' end || down || ' terminated') as transitions from u where up is not null or module in (select module from found)""")
 
 _PER = f"v as ({_ALL_RULES}), per as (select src, count(*) as e from v group by src)"
 _sql("summary_totals", "modules edges", f", {_PER} select count(*) filter (where e is null) as passed, coalesce(sum(e), 0)::bigint as errors, 0::bigint as warnings from modules left join per on src = module")
@@ -146,10 +154,15 @@ _TIER = "case when contains({0}, ': requires ') or contains({0}, ': ensures ') t
 _sql("classify_invariants", "invariant_texts", f"select invariant, {_TIER.format('invariant')} as tier from invariant_texts")
 _STATIC = """case when regexp_matches(lower(invariant), 'never panics|no panic') then not (contains({0}, 'panic!(') or contains({0}, '.unwrap()') or contains({0}, '.expect(')) when regexp_matches(lower(invariant), 'no unwrap|never unwrap') then not contains({0}, '.unwrap()')
     when regexp_matches(lower(invariant), 'no unsafe|never unsafe') then not regexp_matches({0}, '(^|[^A-Za-z0-9_])unsafe($|[^A-Za-z0-9_])') end"""
-_sql("static_checks", "invariants", f"select module, invariant, {_STATIC.format('c')} as satisfied from (select *, code || case length(code) % 3 when 0 then ' x.unwrap();' when 1 then ' unsafe {{ }}' else ' not_unsafe.expect_()' end as c from invariants)")
+_RE2 = lambda pattern: pattern.replace("*+", "*").replace("++", "+").replace("?+", "?")
+_STRIPPED = lambda c: f"regexp_replace({c}, '(?m){_RE2(scan.STRINGS)}', '\\1\\2\\3', 'g')"
+# what is left of each of the lines that the query adds; texts have no test blocks
+_ADDED = ["x.unwrap();", "unsafe { }", "", 'let s = "";', "", "}"]
+_LINES = r"""array_to_string(list_transform(list_filter(string_split(code, chr(10)), lambda x: not regexp_matches(x, '^\s*//') and not contains(x, '.contains("') and not contains(x, '.contains(&"') and not contains(x, 'lower.contains')), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10))"""
+_sql("static_checks", "invariants", f"select module, invariant, {_STATIC.format('c')} as satisfied from (select *, {_STRIPPED(_LINES)} || chr(10) || {_ADDED}[length(code) % 6 + 1] as c from invariants)")
 _sql("collect_invariants", "exposes", """select module, description as invariant from exposes where kind = 'variable' and description is not null union all select module, name || ': requires ' || description from exposes where description is not null and coalesce(kind, 'function') <> 'type'
     union all select module, name || ': ensures ' || signature from exposes where description is not null and coalesce(kind, 'function') <> 'type'""")
-_sql("behavioral_summary", "invariants", f""", r as (select {_TIER.format('invariant')} as tier, {_STATIC.format('c')} as st, case when length(code) % 4 > 0 then length(code) % 4 > 1 end as cached from (select *, code || case length(code) % 3 when 0 then ' x.unwrap();' when 1 then ' unsafe {{ }}' else '' end as c from invariants)),
+_sql("behavioral_summary", "invariants", f""", r as (select {_TIER.format('invariant')} as tier, {_STATIC.format('c')} as st, case when length(code) % 4 > 0 then length(code) % 4 > 1 end as cached from (select *, code || [' x.unwrap();', ' unsafe {{ }}', ''][length(code) % 3 + 1] as c from invariants)),
     q as (select *, st is not null and tier = 'static' as s from r)
     select count(*) filter (where s and st) as static_passed, count(*) filter (where s and not st) as static_failed, count(*) filter (where not s and cached) as verified, count(*) filter (where not s and not cached) as violated, count(*) filter (where not s and cached is null) as unverified, count(*) as total from q""")
 _sql("cache_join", "wanted verdict_cache", "select w.module, w.cache_key, c.satisfies from wanted w left join verdict_cache c on c.cache_key = w.cache_key")
@@ -166,12 +179,34 @@ _sql("defaults_resolve", "spec_dirs defaults", f", {_RESOLVED} select dir, langu
 _sql("apply_defaults", "modules spec_dirs defaults", f", {_RESOLVED} select m.module, r.language, coalesce(m.layer, r.layer) as layer, coalesce(m.stability, r.stability) as stability, case when p.p_partkey % 3 = 0 then 'tokio,clap,tokio,serde' else 'serde,clap' end as external from modules m join part p on p.p_partkey = m.spec_ordinal left join res r on r.dir = 'root/' || p.p_brand || '/' || p.p_type")
 
 ORACLE_SQL["import_roots"] = r"""select page_id, case when r in ('crate', 'super', 'self', 'std', 'core', 'alloc') then 'serde' when r = 'serde' then 'serde' else r || ',serde' end as roots from (select page_id, regexp_extract(regexp_replace(regexp_replace(url, '^https?://', ''), '[/.?#=&-]+', '::', 'g'), '^(\w+)', 1) as r from pages)"""
-ORACLE_SQL["internal_deps"] = "select doc_id, 'alpha,' || lang || ',' || source as deps from documents"
+ORACLE_SQL["internal_deps"] = "select doc_id, 'alpha,' || lang || ',' || source || case when contains(text, ' on ') then ',on' else '' end as deps from documents"
 ORACLE_SQL["regex_extract"] = """select event_id, 'C' || user_id as name, 'f_' || event_id as functions, case when event_id % 3 = 0 then 'f_' || event_id else '' end as public, 'E_' || event_type as events, 'total' as state_variables, 'onlyOwner' as modifiers from events"""
 _sql("skeleton", "x_types x_functions x_vars", """, pub as (select distinct module, name from x_functions where is_public), e as (select module, name, 'type' as kind, 0 as k from x_types join pub using (module, name) union all select module, name, 'function', 1 from pub union all select module, name, 'variable', 2 from x_vars)
     select module, name, arg_min(kind, k) as kind from e group by module, name""")
-ORACLE_SQL["x_solc"] = """select event_id as id, 'C' || user_id as contract, 'FunctionDefinition' as node_type, 'f' || event_id as name, case when event_id % 2 = 0 then 'public' else 'internal' end as visibility from events
-    union all select event_id, 'C' || user_id, 'EventDefinition', event_type, null from events union all select event_id, 'C' || user_id, 'VariableDeclaration', 'v', null from events"""
+def _facts(key: str, facts: list[tuple], source: str) -> None:
+    """Every row of the source (path, k, l, s) has all facts, filled from it."""
+    ORACLE_SQL[key] = f"with src as ({source}) select path, field, pos::int as pos, {snippets.fill_sql('name')} as name, {snippets.fill_sql('detail')} as detail from src cross join (values {snippets.values_sql(facts)}) t(field, pos, name, detail)"
+
+
+_DOCS = "select 'd' || doc_id as path, doc_id::varchar as k, lang as l, source as s from documents"
+_facts("x_rust", snippets.RUST_FACTS, _DOCS)
+_facts("x_flow9", snippets.FLOW9_FACTS, _DOCS)
+_facts("x_solc", snippets.SOLC_FACTS, "select 'e' || event_id as path, event_id::varchar as k, event_type as l, user_id::varchar as s from events")
+
+ORACLE_SQL["strip_strings"] = r"""with t as (select doc_id, 'let a = "x' || doc_id || '\\\" y"; b \" c "d' || chr(10) || text || chr(10) || '"open // \' as code from documents) select doc_id, """ + _STRIPPED("code") + " as code from t"
+ORACLE_SQL["strip_comments"] = r"""with t as (select page_id, html || chr(10) || '"// kept \" /* kept */" // gone' || chr(10) || '/* gone " */ a /* ' || url as code from pages) select page_id, regexp_replace(code, '(?s)""" + _RE2(scan.COMMENTS) + r"""', '\1', 'g') as code from t"""
+ORACLE_SQL["strip_tests"] = "select doc_id, 'fn a() { x.unwrap(); }' || chr(10) || ' } }' || chr(10) || text as code from documents"
+ORACLE_SQL["greedy_budget"] = """with recursive b as (select 'o' || l_orderkey as module, repeat('x', l_quantity::int) as block, row_number() over (partition by l_orderkey order by l_linenumber % 5, l_partkey, repeat('x', l_quantity::int)) as i from lineitem),
+    w(module, i, taken, room, dropped) as (select distinct module, 0::bigint, []::varchar[], 60, 0 from b
+        union all select w.module, b.i, case when length(block) + 1 <= room then list_append(taken, block) else taken end, case when length(block) + 1 <= room then room - length(block) - 1 else room end, case when length(block) + 1 <= room then dropped else dropped + 1 end from w join b on b.module = w.module and b.i = w.i + 1)
+    select module, array_to_string(arg_max(taken, i), chr(10)) as text, arg_max(dropped, i)::int as dropped from w group by module"""
+
+_FORMULAS = " union all ".join(f"select k, '{f.replace(chr(39), chr(39) * 2)}' as formula, {h} as holds, {e or 'cast(null as varchar)'} as error from p" for f, h, e in snippets.FORMULAS)
+_EVALUATED = f"with p as (select p_partkey as k from part), v as (select 'm' || k as module, 'T' || k as name, case when k % 3 = 0 then 'function' else 'type' end as kind, formula, holds, error from ({_FORMULAS}))"
+ORACLE_SQL["formula_eval"] = f"{_EVALUATED} select module, name, kind, formula, holds, error from v"
+ORACLE_SQL["type_constraints"] = f"""{_EVALUATED} select module, name as subject, 'error' as severity, case when holds is null then 'formula-error' else 'formula-fails' end as check_id,
+    chr(39) || formula || case when holds is null then chr(39) || ' cannot be evaluated: ' || error else chr(39) || ' does not hold' end as message from v where holds is null or not holds"""
+ORACLE_SQL["type_parse"] = "select p_partkey, 'Map<' || p_type || ', fn(&mut ' || replace(p_brand, '#', '') || ', &str) -> [u8; 32], (Vec<_>, ()), [' || p_type || '<fn() -> ()>]>' as canonical from part"
 ORACLE_SQL["formula_logic"] = """with t as (select case when l_linenumber % 3 = 0 then null else l_quantity > 25 end as a, case when l_partkey % 4 = 0 then null else l_discount > 0.05 end as b from lineitem)
     select a, b, case when a is null then null when not a then false else b end as a_and_b, case when a is null then null when a then true else b end as a_or_b, not a as not_a, case when a is null then null when not a then true else b end as a_implies_b, count(*) as n from t group by all"""
 ORACLE_SQL["type_matches"] = "select p_partkey, true as m0, p_brand like 'Brand#1%' as m1, p_type = 'SMALL' and p_brand = 'Brand#2' as m2, false as m3 from part"

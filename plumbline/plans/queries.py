@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from plumbline.functions import layers, paths, text
 from plumbline.operators import checks, formula, graph, invariants, protocol, rules
 from plumbline.operators.findings import totals, union, verdict
-from plumbline.plans.bind import role
+from plumbline.plans import snippets
+from plumbline.plans.bind import INVARIANTS, role
 from plumbline.sources import extract, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -277,13 +278,18 @@ def count_calls(lines):
 
 @query("x_functions")
 def detect_pairs(functions):
-    return protocol.detect_pairs(_named(functions))
+    k = F.substring("name", 2, 9).cast("int")
+    verbs = F.array(*(F.lit(v) for pair in protocol.PAIRS for v in pair))
+    return protocol.detect_pairs(functions.select("module", F.concat(F.when(k % 3 == 0, "db_").otherwise(""), F.element_at(verbs, (k % 20 + 1).cast("int"))).alias("name")))
 
 
-def _named(functions: DataFrame) -> DataFrame:
-    k = F.substring("name", 2, 9).cast("int")
-    verbs = F.array(*(F.lit(v) for pair in protocol.PAIRS[:5] for v in pair))
-    return functions.select("module", F.concat(F.when(k % 3 == 0, "db_").otherwise(""), F.element_at(verbs, (k % 10 + 1).cast("int"))).alias("name"))
+@query("x_functions")
+def detect_lifecycle(functions):
+    """Each part that a supplier has stands for a well-known name, or none."""
+    names = F.array(*map(F.lit, (*protocol.INIT, *protocol.SHUTDOWN, "run", "open", "close")))
+    named = functions.select("module", F.element_at(names, (F.substring("name", 2, 9).cast("int") % 12 + 1).cast("int")).alias("name"))
+    found = protocol.lifecycle(named)
+    return found.select("module", F.array_join("states", ",").alias("states"), F.array_join("terminal", ",").alias("terminal"), F.array_join(F.transform("transitions", lambda t: F.concat_ws(" ", t["from_state"], t["call"], t["to_state"])), ",").alias("transitions"))
 
 
 # totals
@@ -375,9 +381,17 @@ def classify_invariants(texts):
     return texts.select("invariant", text.classify_invariant(F.col("invariant")).alias("tier"))
 
 
-@query("invariants")
-def static_checks(inv):
-    return inv.select("module", "invariant", text.static_result(F.col("invariant"), F.concat("code", F.when(F.length("code") % 3 == 0, " x.unwrap();").when(F.length("code") % 3 == 1, " unsafe { }").otherwise(" not_unsafe.expect_()"))).alias("satisfied"))
+def _code(code: str, *more: str) -> F.Column:
+    """The code with a line that breaks one rule or another."""
+    return F.concat(code, F.element_at(F.array(*map(F.lit, more)), F.length(code) % len(more) + 1))
+
+
+@query("documents")
+def static_checks(documents):
+    """Every invariant text on every document, whose code is stripped once."""
+    code = _code("text", "\n x.unwrap();", "\nunsafe { }", "\n  // panic!() unsafe", '\nlet s = "x.unwrap() unsafe";', '\nif t.contains("panic!(") { x.unwrap() }', "\n#[cfg(test)]\nmod t {\n fn a() { b.unwrap() }\n}")
+    clean = documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("module"), scan.strip_to_code(code).alias("code"))
+    return clean.select("module", "code", F.explode(F.array(*map(F.lit, INVARIANTS))).alias("invariant")).select("module", "invariant", text.static_result(F.col("invariant"), F.col("code")).alias("satisfied"))
 
 
 @query("exposes", "requires")
@@ -389,7 +403,7 @@ def collect_invariants(exposes, requires):
 
 @query("invariants")
 def behavioral_summary(inv):
-    code = F.concat("code", F.when(F.length("code") % 3 == 0, " x.unwrap();").when(F.length("code") % 3 == 1, " unsafe { }").otherwise(""))
+    code = _code("code", " x.unwrap();", " unsafe { }", "")
     rows = inv.select("module", "invariant", text.classify_invariant(F.col("invariant")).alias("tier"), text.static_result(F.col("invariant"), code).alias("static"), F.when(F.length("code") % 4 > 0, F.length("code") % 4 > 1).alias("cached"))
     return invariants.summary(rows)
 
@@ -401,18 +415,21 @@ def cache_join(wanted, cache):
 
 @query("documents")
 def strip_strings(documents):
-    return documents.select("doc_id", F.length(scan.strip_strings(F.col("text"))).alias("n"))
+    code = F.concat(F.lit('let a = "x'), F.col("doc_id").cast("string"), F.lit('\\\\\\" y"; b \\" c "d\n'), "text", F.lit('\n"open // \\'))
+    return documents.select("doc_id", scan.strip_strings(code).alias("code"))
 
 
 @query("pages")
 def strip_comments(pages):
-    return pages.select("page_id", F.length(scan.strip_comments(F.col("html"))).alias("n"))
+    code = F.concat("html", F.lit('\n"// kept \\" /* kept */" // gone\n/* gone " */ a /* '), F.col("url"))
+    return pages.select("page_id", scan.strip_comments(code).alias("code"))
 
 
 @query("documents")
 def strip_tests(documents):
-    code = F.concat(F.lit("fn a() { x.unwrap(); }\n#[cfg(test)]\nmod tests {\n fn t() { panic!() }\n}\n"), "text")
-    return documents.select("doc_id", F.length(scan.strip_tests(code)).alias("n"))
+    deep = F.expr("repeat('{ if a { b() } ', doc_id % 4)")
+    code = F.concat(F.lit("fn a() { x.unwrap(); }\n  #[cfg(test)]\nmod tests {\n fn t() { "), deep, F.lit(" panic!()\n"), F.expr("repeat(' } ', doc_id % 4)"), F.lit("\n } }\n"), "text")
+    return documents.select("doc_id", scan.strip_tests(code).alias("code"))
 
 
 # patches and defaults
@@ -464,7 +481,7 @@ def import_roots(pages):
 
 @query("documents")
 def internal_deps(documents):
-    code = F.concat(F.lit("use crate::alpha::X;\n let y = crate::"), F.col("lang"), F.lit("::f(crate::"), F.col("source"), F.lit("); crate::alpha;"))
+    code = F.concat(F.lit("use crate::alpha::X;\n let y = crate::"), F.col("lang"), F.lit("::f(crate::"), F.col("source"), F.lit("); crate::alpha;\n"), F.regexp_replace("text", " on ", " crate::on "))
     return documents.select("doc_id", F.array_join(extract.internal_deps(code), ",").alias("deps"))
 
 
@@ -479,22 +496,32 @@ def skeleton(types, functions, variables):
     return extract.skeleton(types, functions, variables)
 
 
+def _filled(template: str, k: str, name: str, other: str) -> F.Column:
+    out = F.lit(template)
+    for place, value in (("{k}", F.col(k).cast("string")), ("{l}", F.col(name)), ("{s}", F.col(other).cast("string"))):
+        out = F.replace(out, F.lit(place), value)
+    return out
+
+
 @query("events")
 def x_solc(events):
-    doc = F.concat(F.lit('{"nodeType":"SourceUnit","nodes":[{"nodeType":"ContractDefinition","name":"C'), F.col("user_id").cast("string"), F.lit('","nodes":[{"nodeType":"FunctionDefinition","kind":"function","name":"f'), F.col("event_id").cast("string"), F.lit('","visibility":"'), F.when(F.col("event_id") % 2 == 0, "public").otherwise("internal"), F.lit('"},{"nodeType":"FunctionDefinition","kind":"constructor","name":""},{"nodeType":"EventDefinition","name":"'), "event_type", F.lit('"},{"nodeType":"VariableDeclaration","name":"v","stateVariable":true}]}]}'))
-    return extract.solc_nodes(events.select(F.col("event_id").alias("id"), doc.alias("json"))).select("id", "contract", "node_type", "name", "visibility")
+    """A compiler's tree for each event."""
+    return extract.facts(events.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"), _filled(snippets.SOLC, "event_id", "event_type", "user_id").alias("text")), "solc")
+
+
+def _documented(documents: DataFrame, template: str) -> DataFrame:
+    """A source file for each document, whose text is its first comment."""
+    return documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.concat(F.lit("/* "), F.replace("text", F.lit("*/"), F.lit("* /")), F.lit(" */\n"), _filled(template, "doc_id", "lang", "source")).alias("text"))
 
 
 @query("documents")
 def x_rust(documents):
-    code = F.concat(F.lit("use serde::Serialize;\npub struct S"), F.col("doc_id").cast("string"), F.lit(" { pub a: Vec<String>, b: u32 }\nimpl S { pub fn f(&self, x: u32) -> bool { true } fn g() {} }\npub fn top() {}\nconst K: u32 = 1;\n"))
-    return extract.facts(documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), code.alias("text")), "rust")
+    return extract.facts(_documented(documents, snippets.RUST), "rust")
 
 
 @query("documents")
 def x_flow9(documents):
-    code = F.concat(F.lit("import a/b;\nexport {\n  S"), F.col("doc_id").cast("string"), F.lit("(a : int, b : [string]);\n  f : (int) -> bool;\n}\nf(x) { x > 1 }\ng(y : int) -> int { y }\n"))
-    return extract.facts(documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), code.alias("text")), "flow9")
+    return extract.facts(_documented(documents, snippets.FLOW9), "flow9")
 
 
 @query("lineitem")
@@ -508,16 +535,28 @@ def greedy_budget(lineitem):
 
 @query("lineitem")
 def formula_logic(lineitem):
+    """Connectives over true, false and errors, each of which a formula of its own gives."""
+    outcome = lambda c: F.when(c.isNull(), "equals(field(none), u8)").when(c, "no_unsafe").otherwise("not no_unsafe")
     a = F.when(F.col("l_linenumber") % 3 == 0, F.lit(None)).otherwise(F.col("l_quantity") > 25)
     b = F.when(F.col("l_partkey") % 4 == 0, F.lit(None)).otherwise(F.col("l_discount") > 0.05)
-    table = lineitem.select(a.cast("boolean").alias("a"), b.cast("boolean").alias("b"))
-    return table.select("a", "b", formula.and_(F.col("a"), F.col("b")).alias("a_and_b"), formula.or_(F.col("a"), F.col("b")).alias("a_or_b"), formula.not_(F.col("a")).alias("not_a"), formula.implies(F.col("a"), F.col("b")).alias("a_implies_b")).groupBy("a", "b", "a_and_b", "a_or_b", "not_a", "a_implies_b").agg(F.count("*").alias("n"))
+    table = lineitem.select(F.monotonically_increasing_id().cast("string").alias("name"), a.cast("boolean").alias("a"), b.cast("boolean").alias("b"), outcome(a).alias("x"), outcome(b).alias("y"))
+    texts = {"a_and_b": F.concat_ws(" and ", "x", "y"), "a_or_b": F.concat_ws(" or ", "x", "y"), "not_a": F.concat(F.lit("not ("), "x", F.lit(")")), "a_implies_b": F.concat(F.lit("implies("), "x", F.lit(", "), "y", F.lit(")"))}
+    counted = table.groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
+    asked = counted.select(F.to_json(F.struct("a", "b", "n")).alias("module"), F.lit("T").alias("name"), F.lit("type").alias("kind"), F.lit(None).cast("struct<kind:string>").alias("type_info"), F.lit(None).cast("struct<params:array<string>>").alias("function_info"), F.array(*texts.values()).alias("formulas"), F.array(*texts.values()).alias("texts"))
+    held = formula.evaluate(asked.drop("texts")).join(asked.select(F.col("module").alias("m"), "texts"), F.col("module") == F.col("m"))
+    per = held.groupBy("module").agg(*(F.max_by("holds", F.col("formula") == F.col("texts")[i]).alias(k) for i, k in enumerate(texts)))
+    return per.select(F.from_json("module", "a boolean, b boolean, n bigint").alias("r"), *texts).select("r.a", "r.b", *texts, "r.n")
 
 
 @query("part")
 def type_matches(part):
+    """Patterns held against a field's type by the formulas' own `matches`."""
     t = F.concat(F.lit("Vec<"), "p_type", F.lit(", "), "p_brand", F.lit(">"))
-    return part.select("p_partkey", *(text.glob_like(t, F.lit(p)).alias(f"m{i}") for i, p in enumerate(("Vec<_>", "_, Brand#1_>", "Vec<SMALL, Brand#2>", "Map<_>"))))
+    patterns = ("Vec<_>", "_, Brand#1_>", "Vec<SMALL, Brand#2>", "Map<_>")
+    info = F.struct(F.lit("struct").alias("kind"), F.array(F.struct(F.lit("t").alias("name"), t.alias("type"))).alias("fields"))
+    asked = part.select(F.col("p_partkey").cast("string").alias("module"), F.lit("T").alias("name"), F.lit("type").alias("kind"), info.alias("type_info"), F.lit(None).cast("struct<params:array<string>>").alias("function_info"), F.array(*(F.lit(f"matches(field(t), '{p}')") for p in patterns)).alias("formulas"))
+    held = formula.evaluate(asked)
+    return held.groupBy(F.col("module").cast("bigint").alias("p_partkey")).agg(*(F.bool_or(F.when(F.col("formula") == f"matches(field(t), '{p}')", F.col("holds"))).alias(f"m{i}") for i, p in enumerate(patterns)))
 
 
 def _entities(part: DataFrame) -> DataFrame:
@@ -528,7 +567,7 @@ def _entities(part: DataFrame) -> DataFrame:
         F.concat(F.lit("m"), k.cast("string")).alias("module"), F.concat(F.lit("T"), k.cast("string")).alias("name"), F.when(k % 3 == 0, "function").otherwise("type").alias("kind"),
         F.struct(F.when(k % 5 == 0, "enum").otherwise("struct").alias("kind"), F.array(field("items", F.concat(F.lit("Vec<"), arg, F.lit(">"))), field("id", F.lit("u32"))).alias("fields"), F.array(F.lit("A"), F.lit("B")).alias("variants"), F.array(F.lit("Debug")).alias("trait_impls"), F.when(k % 4 == 0, F.array(F.lit("Clone"))).otherwise(F.array().cast("array<string>")).alias("derives"), F.array(F.lit("get")).alias("methods")).alias("type_info"),
         F.struct(F.array(F.struct(F.lit("self").alias("name"), F.lit("&Self").alias("type")), F.struct(F.lit("x").alias("name"), arg.alias("type"))).alias("params"), F.when(k % 7 > 0, "Result<Vec<u8>, Error>").alias("return_type")).alias("function_info"),
-        F.array(F.lit("has_field(Self, items)"), F.lit("cloneable"), F.lit("fallible(return)"), F.lit("equals(con(field(items)), Vec)"), F.lit("equals(arg(return, 0), Vec<u8>)"), F.lit("implies(cloneable, has_method(Self, get))"), F.lit("foobar(Self)")).alias("formulas"),
+        F.array(*(F.lit(f) for f, _, _ in snippets.FORMULAS)).alias("formulas"),
     )
 
 
@@ -544,8 +583,8 @@ def type_constraints(part):
 
 @query("part")
 def type_parse(part):
-    t = F.concat(F.lit("Map<"), "p_type", F.lit(", fn(&mut "), "p_brand", F.lit(") -> [u8; 32]>"))
-    return part.select("p_partkey", formula.canonical_type(F.regexp_replace(t, "#", "")).alias("canonical"))
+    t = F.concat(F.lit("Map< "), "p_type", F.lit(" ,fn( &mut "), F.regexp_replace("p_brand", "#", ""), F.lit(",&'a  str)->[u8;32] , (Vec<_>,()), [ "), "p_type", F.lit("<fn()> ] >"))
+    return part.select("p_partkey", formula.canonical_type(t).alias("canonical"))
 
 
 @query("supplier")

@@ -14,6 +14,7 @@ from plumbline.sources.scan import comments_stripped
 
 RESERVED = ("if", "switch", "export", "import", "native")
 _NAME = r"[A-Za-z_]\w*"
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 
 
 def render(t: str) -> str:
@@ -145,7 +146,8 @@ class Reader:
 
 def extract(text: str, name: str = "") -> Facts:
     facts = Facts(name=name, language="flow9")
-    clean = comments_stripped(text)
+    # what strings hold is no code
+    clean = _STRING.sub('""', comments_stripped(text))
     exported = set()
     for m in re.finditer(r"\bexport\s*\{", clean):
         for st in _statements(clean[m.end() : closing(clean, m.end() - 1)]):

@@ -1,13 +1,15 @@
-"""Scanners that need state from character to character or line to line, as Arrow functions over whole texts."""
+"""Scanners over whole texts: native columns, but for test blocks, which need a count from line to line."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_BRACE = re.compile("[{}]")
 SELF_CHECKS = ('.contains("', '.contains(&"', "lower.contains")
 
 
@@ -38,16 +40,18 @@ def comments_stripped(text: str) -> str:
 
 def tests_stripped(text: str) -> str:
     """text without the blocks under #[cfg(test)]: from that line to the first closing brace back at its depth, whose line stays."""
+    if "#[cfg(test)]" not in text:
+        return text
     out, depth, until = [], 0, None
     for line in text.split("\n"):
         if until is None and "#[cfg(test)]" in line:
             until = depth
             continue
         closed = False
-        for c in line:
+        for c in _BRACE.findall(line):
             if c == "{":
                 depth += 1
-            elif c == "}":
+            else:
                 depth -= 1
                 closed = closed or (until is not None and depth <= until)
         if until is None:
@@ -58,54 +62,32 @@ def tests_stripped(text: str) -> str:
     return "\n".join(out)
 
 
-def strings_stripped(text: str) -> str:
-    """text with nothing left between double quotes of one line; a quote after a backslash does not close."""
-    out = []
-    for line in text.split("\n"):
-        if '"' not in line:
-            out.append(line)
-            continue
-        kept, inside, before = [], False, ""
-        for c in line:
-            if c == '"' and before != "\\":
-                inside = not inside
-                kept.append(c)
-            elif not inside:
-                kept.append(c)
-            before = c
-        out.append("".join(kept))
-    return "\n".join(out)
-
-
-def code_only(text: str) -> str:
-    """Trimmed lines of text without test blocks, string contents, comment lines and lines that themselves search text."""
-    out = []
-    for line in tests_stripped(text).split("\n"):
-        t = line.strip()
-        if not t.startswith("//") and not any(m in line for m in SELF_CHECKS):
-            out.append(strings_stripped(t))
-    return "\n".join(out)
+#: Java and RE2 read these alike, but for the possessive signs, which RE2 neither knows nor needs.
+STRINGS = r'(\\++"?+)|(")(?:[^"\\\n]++|\\++"?+)*+("|$)'
+COMMENTS = r'("(?:[^"\\]++|\\.)*+(?:"|\\?+\z))|//[^\n]*+|/\*.*?(?:\*/|\z)'
 
 
-def _column(f: Callable[[str], str]) -> Callable[[Column], Column]:
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else f(t) for t in texts.to_pylist()], pa.string())
-
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return lambda c: F.arrow_udf(run, "string")(c)
+def strip_strings(c: Column) -> Column:
+    """Text with nothing left between double quotes of one line; a quote after a backslash neither opens nor closes."""
+    return F.regexp_replace(c, "(?md)" + STRINGS, "$1$2$3")
 
 
 def strip_comments(c: Column) -> Column:
-    return _column(comments_stripped)(c)
+    """Text without // and /* */ comments; what is in double quotes, in which a backslash escapes, stays."""
+    return F.regexp_replace(c, "(?s)" + COMMENTS, "$1")
 
 
 def strip_tests(c: Column) -> Column:
-    return _column(tests_stripped)(c)
+    """Text without the blocks under #[cfg(test)]; texts that have none are passed through."""
 
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else tests_stripped(t) for t in texts.to_pylist()], pa.string())
 
-def strip_strings(c: Column) -> Column:
-    return _column(strings_stripped)(c)
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "string")(c)
 
 
 def strip_to_code(c: Column) -> Column:
-    return _column(code_only)(c)
+    """Trimmed lines of text without test blocks, string contents, comment lines and lines that themselves search text."""
+    own = F.filter(F.split(strip_tests(c), "\n", -1), lambda x: ~F.regexp_like(x, F.lit(r"^\s*//")) & ~reduce(Column.__or__, [x.contains(m) for m in SELF_CHECKS]))
+    return strip_strings(F.array_join(F.transform(own, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), "\n"))

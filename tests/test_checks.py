@@ -115,7 +115,11 @@ def test_protocols(df):
     assert ids(protocol.balanced_pairs(code, pairs)) == [("m", "go", "unbalanced")]
     names = df([("m", n) for n in ("db_open", "db_close", "lock", "unlock", "open", "init", "new", "dispose")], "module string, name string")
     assert sorted((x.open_fn, x.close_fn) for x in protocol.detect_pairs(names).collect()) == [("db_open", "db_close"), ("lock", "unlock")]
-    assert [tuple(x) for x in protocol.detect_lifecycle(names).collect()] == [("m", "init", "dispose")]
+    life = protocol.lifecycle(names.unionByName(df([("n", "go"), ("o", "teardown"), ("o", "attach"), ("o", "detach")], "module string, name string"))).collect()
+    assert {x.module: (x.states, x.terminal, [tuple(t) for t in x.transitions]) for x in life} == {
+        "m": (["initial", "ready", "terminated"], ["terminated"], [("initial", "init", "ready"), ("ready", "dispose", "terminated")]),
+        "o": (["initial", "terminated"], ["terminated"], [("initial", "teardown", "terminated")]),
+    }
 
 
 def test_totals_and_verdict(df):

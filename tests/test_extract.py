@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from plumbline.functions import paths, text
 from plumbline.sources import extract, flow9, rust, scan
@@ -98,9 +100,12 @@ def test_facts_of_broken_null_and_repeated_files(spark):
 
 
 def test_solc_tree(spark):
-    doc = '{"nodeType":"SourceUnit","nodes":[{"nodeType":"ImportDirective","absolutePath":"x.sol"},{"nodeType":"ContractDefinition","name":"C","nodes":[{"nodeType":"FunctionDefinition","kind":"function","name":"f","visibility":"public"},{"nodeType":"FunctionDefinition","kind":"constructor","name":""},{"nodeType":"EventDefinition","name":"E"},{"nodeType":"VariableDeclaration","name":"v","stateVariable":true},{"nodeType":"VariableDeclaration","name":"w","stateVariable":false}]}]}'
-    rows = extract.solc_nodes(spark.createDataFrame([(1, doc), (2, None), (3, "{")], "id int, json string")).collect()
-    assert sorted((r.id, r.node_type, r.name) for r in rows) == [(1, "EventDefinition", "E"), (1, "FunctionDefinition", "f"), (1, "ImportDirective", "x.sol"), (1, "VariableDeclaration", "v")]
+    one = '{"nodeType":"SourceUnit","nodes":[{"nodeType":"ImportDirective","absolutePath":"x.sol"},{"nodeType":"ContractDefinition","name":"C","nodes":[{"nodeType":"FunctionDefinition","kind":"function","name":"f","visibility":"public"},{"nodeType":"FunctionDefinition","kind":"receive","name":"r"},{"nodeType":"EventDefinition","name":"E"}]}]}'
+    both = '{"sources": {"a.sol": {"AST": %s}, "b.sol": {"ast": {"nodeType": "FunctionDefinition", "name": "free"}}}}' % one
+    rows = extract.facts(spark.createDataFrame([("1", "JSON AST:\n" + one), ("2", None), ("3", "{"), ("4", both)], "path string, text string"), "solc").collect()
+    own = [("public_functions", "f"), ("imports", "x.sol"), ("events", "E")]
+    assert [(r.field, r.name) for r in rows if r.path == "1"] == own and {r.field for r in rows if r.path in "23"} == {"error"}
+    assert sorted((r.field, r.name) for r in rows if r.path == "4") == sorted([*own, ("private_functions", "free")])
 
 
 def test_imports_skeleton_and_budget(spark):
@@ -113,11 +118,23 @@ def test_imports_skeleton_and_budget(spark):
     assert [tuple(x) for x in extract.greedy_budget(b, 11).collect()] == [("m", "aaaa\ncc\né", 1)]
 
 
-def test_scanners():
-    assert scan.comments_stripped('a /* x */ b // c\n"// kept" /* open') == 'a  b \n"// kept" '
-    assert scan.tests_stripped("fn a() {}\n#[cfg(test)]\nmod t {\n fn b() {}\n}\nfn c() {}") == "fn a() {}\n}\nfn c() {}"
-    assert scan.strings_stripped('x("a\\"b") y "" z') == 'x("") y "" z'
-    assert "unwrap" not in scan.code_only('let s = "x.unwrap()";\n// y.unwrap()\nif t.contains("z.unwrap()") {}')
+def test_scanners(spark):
+    one = lambda v, f: spark.createDataFrame([(v,)], "t string").select(f(F.col("t")).alias("x")).first().x
+    text = 'a /* x */ b // c\n"// kept" /* open'
+    assert scan.comments_stripped(text) == 'a  b \n"// kept" ' == one(text, scan.strip_comments)
+    tests = "fn a() {}\n#[cfg(test)]\nmod t {\n fn b() {}\n}\nfn c() {}"
+    assert one(tests, scan.strip_tests) == "fn a() {}\n}\nfn c() {}" and one(None, scan.strip_tests) is None
+    assert one('x("a\\"b") y "" z "open\nnext', scan.strip_strings) == 'x("") y "" z "\nnext'
+    assert one('"' + "x" * 200_000 + '" y', scan.strip_strings) == '"" y' and one("/*" + "x" * 200_000 + "*/ y", scan.strip_comments) == " y"
+    assert "unwrap" not in one('let s = "x.unwrap()";\n// y.unwrap()\nif t.contains("z.unwrap()") {}', scan.strip_to_code)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_comment_scanner_matches_its_column(spark, seed):
+    r = random.Random(seed)
+    texts = ["".join(r.choice(['"', "\\", "/", "*", "\n", "a", "//", "/*", "*/"]) for _ in range(r.randint(0, 25))) for _ in range(50)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scan.strip_comments(F.col("t")).alias("x")).collect()
+    assert all(x.x == scan.comments_stripped(x.t) for x in rows)
 
 
 @pytest.mark.parametrize(("code", "n"), [("f();", 1), ("fn f() {}", 0), ("x.f();\n// f()\n# f()\nf(f());", 3), ("reopen_f(1)", 1), ("", 0), (None, 0)])
@@ -137,4 +154,3 @@ def test_text_columns(spark):
     assert one("SOL", paths.extractor) == "solidity" and one("java", paths.extractor) is None
     assert one("hello", paths.source_hash) == "2cf24dba5fb0a30e"
     assert one("src/a/b.rs", lambda c: paths.excluded(c, ["**/b.*"])) and not one("src/a/b.rs", lambda c: paths.excluded(c, ["src/*.rs"])) and not one("x", lambda c: paths.excluded(c, []))
-    assert one("Vec<u8>", lambda c: text.glob_like(c, F.lit("Vec<_>"))) and not one("Map<u8>", lambda c: text.glob_like(c, F.lit("Vec<_>")))
