@@ -88,21 +88,21 @@ def stale_specs(specs: DataFrame) -> DataFrame:
     return finding(specs.where(F.col("source_hash").isNotNull() & (F.col("source_hash") != now)), "stale", _says("stored hash ", F.col("source_hash"), ", source has ", now), subject="module", severity="warning")
 
 
-def find_source(specs: DataFrame, files: DataFrame) -> DataFrame:
+def find_source(specs: DataFrame, files: DataFrame, key: str = "module") -> DataFrame:
     """module and path of its source: the explicit path if it exists (else none), or the first existing candidate of its language. specs: module, language, source_path; files: path."""
     m, low = F.col("module"), F.lower("module")
     fill = lambda c: F.lit(c) if "{" not in c else F.concat(F.lit(c.split("{")[0]), low if "{l}" in c else m, F.lit(c.split("}")[1]))
     places = F.array().cast("array<string>")
     for language, candidates in paths.CANDIDATES.items():
         places = F.when(F.col("language") == language, F.array(*[fill(c) for c in candidates])).otherwise(places)
-    tried = specs.select("module", F.posexplode(F.when(F.col("source_path").isNotNull(), F.array("source_path")).otherwise(places)).alias("pos", "candidate"))
+    tried = specs.select(key, F.posexplode(F.when(F.col("source_path").isNotNull(), F.array("source_path")).otherwise(places)).alias("pos", "candidate"))
     there = files.select(F.col("path").alias("f")).distinct()
-    return tried.join(there, F.col("candidate") == F.col("f"), "left_semi").groupBy("module").agg(F.min_by("candidate", "pos").alias("path"))
+    return tried.join(there, F.col("candidate") == F.col("f"), "left_semi").groupBy(key).agg(F.min_by("candidate", "pos").alias("path"))
 
 
-def resolved_deps(deps: DataFrame, modules: DataFrame) -> DataFrame:
-    """module, value and resolved: the module at that path, else the one of that name, null if neither. Of modules with one path or name the last (spec_ordinal) counts."""
-    last = lambda key, name: modules.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"k_{name}")).agg(F.max_by("module", "spec_ordinal").alias(name))
+def resolved_deps(deps: DataFrame, modules: DataFrame, key: str = "module") -> DataFrame:
+    """module, value and resolved: the module at that path, else the one of that name, null if neither; modules are given by the column `key`. Of modules with one path or name the last (spec_ordinal) counts."""
+    last = lambda by, name: modules.where(F.col(by).isNotNull()).groupBy(F.col(by).alias(f"k_{name}")).agg(F.max_by(key, "spec_ordinal").alias(name))
     by_path, by_name = last("source_path", "at_path"), last("module", "by_name")
     out = deps.join(by_path, F.col("value") == F.col("k_at_path"), "left").join(by_name, paths.module_name(F.col("value")) == F.col("k_by_name"), "left")
     return out.select("module", "value", F.coalesce("at_path", "by_name").alias("resolved"))
@@ -158,12 +158,16 @@ def is_public(refs: DataFrame, modules: DataFrame, explicit: DataFrame, members:
 
 
 def boundaries(refs: DataFrame, projects: DataFrame, modules: DataFrame, public: DataFrame) -> DataFrame:
-    """Cross-project references that fail, each with the first step that does: its project has errors, is unknown, has no such module, or keeps it private. refs: module, value (`project::module`); projects: project, errors; modules: project, module; public: project, module."""
-    r = refs.where(F.col("value").contains("::")).select("module", "value", paths.ref_project(F.col("value")).alias("tp"), paths.module_name(paths.ref_module(F.col("value"))).alias("tm"))
+    """Cross-project references that fail, each with the first step that does: its project has errors, is unknown, has no such module, or keeps it private. A module is found under its path or its name, both whole, else under the reference up to its first dot. refs: module, value (`project::module`); projects: project, errors; modules: project, module, source_path; public: project, module."""
+    local = paths.ref_module(F.col("value"))
+    r = refs.where(F.col("value").contains("::")).select("module", "value", paths.ref_project(F.col("value")).alias("tp"), local.alias("whole"), F.substring_index(local, ".", 1).alias("part"))
     p = projects.select(F.col("project").alias("p"), "errors")
-    m = modules.select(F.col("project").alias("mp"), F.col("module").alias("mm")).distinct()
+    keys = modules.select("project", "module", F.explode(F.array_compact(F.array("source_path", "module"))).alias("key")).groupBy("project", "key").agg(F.max("module").alias("found"))
+    side = lambda n: keys.select(F.col("project").alias(f"p_{n}"), F.col("key").alias(f"k_{n}"), F.col("found").alias(f"f_{n}"))
+    at = lambda n: (F.col("tp") == F.col(f"p_{n}")) & (F.col(n) == F.col(f"k_{n}"))
     v = public.select(F.col("project").alias("vp"), F.col("module").alias("vm")).distinct()
-    all_ = r.join(p, F.col("tp") == F.col("p"), "left").join(m, (F.col("tp") == F.col("mp")) & (F.col("tm") == F.col("mm")), "left").join(v, (F.col("tp") == F.col("vp")) & (F.col("tm") == F.col("vm")), "left")
+    named = r.join(p, F.col("tp") == F.col("p"), "left").join(side("whole"), at("whole"), "left").join(side("part"), at("part"), "left").withColumn("mm", F.coalesce("f_whole", "f_part"))
+    all_ = named.join(v, (F.col("tp") == F.col("vp")) & (F.col("mm") == F.col("vm")), "left")
     step = F.when(F.col("errors") > 0, "project-has-errors").when(F.col("p").isNull(), "unknown-project").when(F.col("mm").isNull(), "unknown-module").when(F.col("vm").isNull(), "private-module")
     return finding(all_.withColumn("step", step).where("step is not null"), F.col("step"), _says("'", F.col("value"), "': ", F.col("step")), subject="value", kind="architectural")
 
@@ -222,6 +226,27 @@ def dependency_diff(declared: DataFrame, imports: DataFrame, forbidden: DataFram
     return seen.unionByName(idle.select("module", "value", F.lit("unused").alias("state")))
 
 
+def transition_marks(transitions: DataFrame, functions: DataFrame) -> DataFrame:
+    """module, pos, from_state, call, to_state and exists: whether the source has a function of the call's name, public or not. transitions: module, pos, from_state, call, to_state; functions: module, name."""
+    f = functions.select(F.col("module").alias("fm"), F.col("name").alias("fn")).distinct()
+    return transitions.join(f, (F.col("module") == F.col("fm")) & (F.col("call") == F.col("fn")), "left").select("module", "pos", "from_state", "call", "to_state", F.col("fn").isNotNull().alias("exists"))
+
+
+def apply_enrichment(specs: DataFrame, patch: DataFrame) -> DataFrame:
+    """Specs (module, layer, forbidden_deps) with what the patch of their module says: its forbidden dependencies in place of theirs, its layer, in lower case, if it gives one. patch: module, layer, forbidden_deps."""
+    p = patch.select(F.col("module").alias("pm"), F.col("layer").alias("new_layer"), F.coalesce("forbidden_deps", F.array().cast("array<string>")).alias("new_deps"))
+    joined = specs.join(p, F.col("module") == F.col("pm"), "left")
+    return joined.select("module", F.coalesce(F.lower("new_layer"), "layer").alias("layer"), F.when(F.col("pm").isNotNull(), F.col("new_deps")).otherwise(F.col("forbidden_deps")).alias("forbidden_deps"))
+
+
+def merge_lists(own: DataFrame, patch: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
+    """own with the items of each of the list fields that the patch adds appended; nothing is taken away. Both: keys and fields."""
+    p = patch.select(*[F.col(k).alias(f"p_{k}") for k in keys], *[F.col(f).alias(f"p_{f}") for f in fields])
+    on = [F.col(k) == F.col(f"p_{k}") for k in keys]
+    rest = [c for c in own.columns if c not in fields]
+    return own.join(p, on, "left").select(*rest, *[append_missing(f, f"p_{f}").alias(f) for f in fields])
+
+
 def cached_verdicts(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """The wanted invariants (with cache_key) and the cached verdict; satisfies is null for those still to verify. cache: cache_key, satisfies."""
     return wanted.join(cache.select(F.col("cache_key").alias("k"), "satisfies"), F.col("cache_key") == F.col("k"), "left").drop("k")

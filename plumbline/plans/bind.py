@@ -90,6 +90,11 @@ ROLES: dict[str, str] = {
     "invariants": "select concat('d', cast(d.doc_id as string)) as module, t.invariant, d.text as code from {documents} d cross join {invariant_texts} t",
     "wanted": "select concat('d', cast(doc_id as string)) as module, {sha}(concat(text, '|', 'quality')) as cache_key from {documents}",
     "verdict_cache": "select {sha}(concat(d.text, '|', 'quality')) as cache_key, max(l.quality) = 1 as satisfies from {labels} l join {documents} d on d.doc_id = l.doc_id group by d.text",
+    "described": "select concat('d', cast(doc_id as string)) as module, case when doc_id % 4 > 0 then concat(lang, ' of ', source) end as description from {documents}",
+    "described_entities": "select concat('d', cast(doc_id as string)) as module, e as name, case when doc_id % 3 > 0 then concat(e, ' for ', lang) end as description from {documents} cross join (select 'open' as e union all select 'close' union all select 'op') w",
+    "crate_files": "select concat('src/', p_brand, '/', case when p_partkey % 10 = 0 then concat('x', cast(p_partkey as string), '/mod') else concat('f', cast(p_partkey as string)) end, '.rs') as path, concat('use crate::f', cast(cast(floor(p_partkey / 2.0) as bigint) as string), '; let a = crate::x', cast(p_partkey - p_partkey % 10 as string), '::b(crate::f', cast(p_partkey as string), ');') as text from {part}",
+    "bounds": "select concat('n', cast(s_nationkey as string)) as variable, case when s_suppkey % 2 = 0 then cast(floor(s_acctbal) as bigint) - 8000 end as lower, case when s_suppkey % 3 > 0 then cast(floor(s_acctbal) as bigint) + 2000 end as upper from {supplier}",
+    "wished_bounds": "select concat('n', cast(c_nationkey as string)) as variable, case when c_nationkey % 3 > 0 then cast(min(floor(c_acctbal)) as bigint) end as lower, case when c_nationkey % 4 > 0 then cast(max(floor(c_acctbal)) as bigint) end as upper from {customer} group by c_nationkey",
     # defaults
     "spec_dirs": "select distinct concat('root/', p_brand, '/', p_type) as dir from {part}",
     "defaults": """select 'root' as dir, 'rust' as language, 'domain' as layer, cast(null as string) as stability union all select distinct concat('root/', p_brand), case when length(p_brand) > 7 then 'solidity' end, cast(null as string), 'stable' from {part}

@@ -182,6 +182,27 @@ def spec_diff(exposes, functions):
     return checks.spec_diff(exposes, functions.where("is_public"))
 
 
+def _names(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("value", "name")
+
+
+@query("owns_state", "actual_state", "declared_events", "actual_events")
+def list_diff(state, actual_state, events, actual_events):
+    """Sides of state and events, as spec_diff has those of functions."""
+    side = lambda f, a, b: checks.spec_diff(_names(a), _names(b)).select(F.lit(f).alias("field"), "module", "name", "side")
+    return side("state", state, actual_state).unionByName(side("event", events, actual_events))
+
+
+@query("depends_on", "imports", "forbidden_deps")
+def dependency_diff(deps, imports, forbidden):
+    return checks.dependency_diff(deps, imports, forbidden)
+
+
+@query("transitions", "p_functions")
+def transition_marks(transitions, functions):
+    return checks.transition_marks(transitions, functions)
+
+
 # composition
 
 
@@ -450,6 +471,30 @@ def merge_contracts(lineitem):
     return out.select("module", "name", F.array_join("items", ",").alias("items"))
 
 
+@query("modules")
+def apply_enrichment(modules):
+    k, some = F.col("spec_ordinal"), lambda *x: F.array(*x).cast("array<string>")
+    specs = modules.select("module", "layer", some(F.lit("old"), "context").alias("forbidden_deps"))
+    patch = modules.where(k % 3 > 0).select("module", F.when(k % 2 == 0, "Application").alias("layer"), F.when(k % 5 > 0, some("context", F.lit("new"))).alias("forbidden_deps"))
+    return checks.apply_enrichment(specs, patch).withColumn("forbidden_deps", F.array_join("forbidden_deps", ","))
+
+
+@query("exposes")
+def merge_refinement(exposes):
+    """requires, ensures and modifies of entities, to which a patch adds without repetition."""
+    k, some = F.substring("name", 2, 9).cast("int"), lambda *x: F.array_compact(F.array(*x)).cast("array<string>")
+    lists = ("requires", "ensures", "modifies")
+    own = exposes.select("module", "name", some("description").alias("requires"), some("signature", "signature").alias("ensures"), some().alias("modifies"))
+    patch = exposes.where(k % 3 > 0).select("module", "name", some(F.lit("a lock"), "description", F.lit("a lock")).alias("requires"), some("signature").alias("ensures"), some(F.when(k % 2 == 0, F.col("name"))).alias("modifies"))
+    return checks.merge_lists(own, patch, ("module", "name"), lists).select("module", "name", *(F.array_join(c, ",").alias(c) for c in lists))
+
+
+@query("described", "described_entities")
+def description_context(modules, entities):
+    texts = ("open: requires a path", "close: ensures no loss", "order is kept", "openly: ensures nothing")
+    return invariants.description_context(modules.select("module", F.explode(F.array(*map(F.lit, texts))).alias("invariant")), modules, entities)
+
+
 @query("dag", "modules")
 def dep_context(edges, modules):
     deps = edges.select(F.col("src").alias("module"), F.col("dst").alias("value"), F.substring("dst", 2, 9).cast("int").alias("pos"))
@@ -485,6 +530,16 @@ def internal_deps(documents):
     return documents.select("doc_id", F.array_join(extract.internal_deps(code), ",").alias("deps"))
 
 
+@query("crate_files")
+def file_edges(files):
+    return extract.file_edges(files)
+
+
+@query("crate_files")
+def file_levels(files):
+    return graph.topo_levels(extract.file_edges(files), files.select(F.col("path").alias("node")))
+
+
 @query("events")
 def regex_extract(events):
     code = F.concat(F.lit("contract C"), F.col("user_id").cast("string"), F.lit(" {\n  uint256 public total;\n  event E_"), "event_type", F.lit("(uint x);\n  function f_"), F.col("event_id").cast("string"), F.lit("(uint a) "), F.when(F.col("event_id") % 3 == 0, "public view").when(F.col("event_id") % 3 == 1, "internal").otherwise(""), F.lit(" returns (bool) { }\n  modifier onlyOwner { _; }\n}\n"))
@@ -587,7 +642,11 @@ def type_parse(part):
     return part.select("p_partkey", formula.canonical_type(t).alias("canonical"))
 
 
-@query("supplier")
-def bounds_sat(supplier):
-    c = supplier.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("variable"), F.when(F.col("s_suppkey") % 2 == 0, F.floor("s_acctbal") - 8000).cast("bigint").alias("lower"), F.when(F.col("s_suppkey") % 3 > 0, F.floor("s_acctbal") + 2000).cast("bigint").alias("upper"))
-    return invariants.bounds_satisfiable(c)
+@query("bounds")
+def bounds_sat(bounds):
+    return invariants.bounds_satisfiable(bounds)
+
+
+@query("bounds", "wished_bounds")
+def bounds_implied(bounds, wished):
+    return invariants.implied(bounds, wished)

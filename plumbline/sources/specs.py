@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import layers, paths
 from plumbline.operators.checks import append_missing
 from plumbline.operators.rules import Rule
+from plumbline.sources import solc
 
 try:
     import yaml
@@ -116,17 +118,11 @@ def read_specs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def load_specs(spark: SparkSession, root: str, project: str = "") -> DataFrame:
-    """Specs under root with directory defaults applied and spec_ordinal, their order by file. Any broken file is an error."""
+    """Specs under root with directory defaults applied and spec_ordinal, by which they are in order: their file. Any broken file is an error."""
     specs = read_specs(spark, root)
     if broken := specs.where("error is not null").select("file", "error").take(1):
         raise ValueError(f"{broken[0][0]}: {broken[0][1]}")
-    return with_defaults(specs, read_defaults(spark, root), root).withColumn("project", F.lit(project)).withColumn("spec_ordinal", F.dense_rank().over(_by_file()))
-
-
-def _by_file():
-    from pyspark.sql import Window
-
-    return Window.orderBy("file")
+    return with_defaults(specs, read_defaults(spark, root), root).withColumn("project", F.lit(project)).withColumn("spec_ordinal", F.col("file"))
 
 
 def load_subsystems(spark: SparkSession, root: str) -> DataFrame:
@@ -155,7 +151,10 @@ def with_defaults(specs: DataFrame, defaults: DataFrame, root: str) -> DataFrame
     s = specs.withColumn("__dir", F.regexp_replace("file", "/[^/]*$", ""))
     d = defaults.select(F.col("dir").alias("__d"), *[F.col(c).alias(f"__{c}") for c in DEFAULT_SCALARS + DEFAULT_LISTS]).where((F.col("__d") == top) | F.col("__d").startswith(top + "/"))
     deep = F.length("__d")
-    joined = s.select("file", "__dir").join(d, (F.col("__dir") == F.col("__d")) | F.startswith("__dir", F.concat("__d", F.lit("/"))))
+    # a folder meets the defaults of those above it by equal keys
+    steps = F.split("__dir", "/")
+    up = s.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))).alias("__up"))
+    joined = up.join(d, F.col("__up") == F.col("__d"))
     fold = joined.groupBy("file").agg(*[F.max_by(f"__{c}", F.when(F.col(f"__{c}").isNotNull(), deep)).alias(f"__{c}") for c in DEFAULT_SCALARS], *[F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(deep.alias("k"), F.coalesce(f"__{c}", F.array().cast("array<string>")).alias("v")))), lambda x: x["v"]))).alias(f"__{c}") for c in DEFAULT_LISTS])
     out = s.join(fold, "file", "left")
     for c in DEFAULT_SCALARS:
@@ -191,6 +190,20 @@ def balanced_pairs(specs: DataFrame) -> DataFrame:
     return specs.select("module", F.explode("protocol.balanced_pairs").alias("p")).select("module", "p.*")
 
 
+def source_files(spark: SparkSession, root: str, excludes: list[str] = ()) -> DataFrame:
+    """path (relative to root) of every file under root, none of which is opened, less those that a glob excludes."""
+    top = os.path.abspath(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/*", "/").alias("file"))
+    return files.select(F.substring("file", F.lit(len(top) + 2), F.length("file")).alias("path")).where(~paths.excluded(F.col("path"), list(excludes)))
+
+
+def syntax_trees(spark: SparkSession, root: str) -> DataFrame:
+    """path of the source and text of the trees that the Solidity compiler left beside sources."""
+    top = os.path.abspath(root)
+    files = _files(spark, root, f"*{solc.SUFFIX}")
+    return files.select(F.regexp_replace(F.substring("file", F.lit(len(top) + 2), F.length("file")), re.escape(solc.SUFFIX) + "$", "").alias("path"), "text")
+
+
 def source_texts(spark: SparkSession, root: str, excludes: list[str] = ()) -> DataFrame:
     """path (relative to root), text and language of the source files that there are extractors for, less those that a glob excludes."""
     top = os.path.abspath(root)
@@ -256,7 +269,61 @@ def write_specs(specs: list[dict[str, Any]], out: str) -> list[str]:
     return done
 
 
-def project_graph(root: str) -> tuple[list[dict[str, Any]], list[tuple[str, str]]]:
+def resolve_settings(defaults: dict[str, Any], file: dict[str, Any], options: dict[str, Any], environment: dict[str, str]) -> dict[str, Any]:
+    """Settings of the verifier: defaults, then the file's provider (the one it names as `default`, else the first by name; without `providers` the file's own top level), then its `check_mode`, then what the caller gives, then a key from the environment where none is set, by the provider's `key_env`."""
+    out = dict(defaults)
+    providers = file.get("providers") or {}
+    if providers:
+        name = file.get("default") or min(providers)
+        if name not in providers:
+            raise ValueError(f"no provider {name!r}")
+        out |= {"provider": name, **(providers[name] or {})}
+    else:
+        out |= {k: v for k, v in file.items() if k not in ("default", "providers", "check_mode")}
+    if file.get("check_mode") is not None:
+        out["check_mode"] = file["check_mode"]
+    out |= {k: v for k, v in options.items() if v is not None}
+    if not out.get("key") and environment.get(out.get("key_env") or ""):
+        out["key"] = environment[out["key_env"]]
+    return out
+
+
+def rewrite_spec(file: str, change: dict[str, Any]) -> None:
+    """Sets fields of a spec file, keeping all others; exposes are merged by name."""
+    with open(file, encoding="utf-8") as f:
+        d = parse_yaml(f.read())
+    exposes = {**(d.get("exposes") or {})}
+    for name, fields in (change.pop("exposes", None) or {}).items():
+        exposes[name] = {**(exposes.get(name) or {}), **fields}
+    d |= change
+    if exposes:
+        d["exposes"] = exposes
+    with open(file, "w", encoding="utf-8") as f:
+        f.write(yaml.safe_dump(d, sort_keys=False) if yaml is not None else json.dumps(d, indent=2))
+
+
+def refined(file: str, spec: dict[str, Any], given: list[dict[str, Any]], source_hash: str) -> str:
+    """Adds to a spec file what was given of its module and entities, in order, without repetitions, and sets its source_hash. Of entities only those the spec has are changed."""
+    own = {e["name"]: e for e in spec.get("exposes") or []}
+    change: dict[str, Any] = {"source_hash": source_hash, "exposes": {}}
+    more = lambda have, extra: [*have, *(x for x in dict.fromkeys(extra or []) if x not in have)]
+    for g in given:
+        if g["name"] is None:
+            change["invariants"] = more(change.get("invariants", spec.get("invariants") or []), g["invariants"])
+            if g["description"]:
+                change["description"] = g["description"]
+        elif g["name"] in own:
+            at = change["exposes"].setdefault(g["name"], {})
+            for f in ("requires", "ensures", "modifies"):
+                if items := more(at.get(f, own[g["name"]].get(f) or []), g[f]):
+                    at[f] = items
+            if g["description"]:
+                at["description"] = g["description"]
+    rewrite_spec(file, change)
+    return file
+
+
+def project_graph(root: str, names: tuple[str, ...] | None = None) -> tuple[list[dict[str, Any]], list[tuple[str, str]]]:
     """Projects (name, root, public_modules) reached through `dependencies`, each once, and edges (project, dependency). A dependency whose own name differs from the one used for it is an error."""
     found: dict[str, dict[str, Any]] = {}
     edges: list[tuple[str, str]] = []
@@ -265,7 +332,7 @@ def project_graph(root: str) -> tuple[list[dict[str, Any]], list[tuple[str, str]
         real = os.path.realpath(path)
         if real in found:
             return found[real]["name"]
-        c = load_config(real)
+        c = load_config(real, names or CONFIG_FILES)
         name = c.get("name") or called or os.path.basename(real)
         if called is not None and c.get("name") not in (None, called):
             raise ValueError(f"{real} is named {name!r}, not {called!r}")
