@@ -16,11 +16,18 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, or, where that is unset, in a local one."""
+    """df as a table in the folder of spark.checkpoint.dir, which goes when the application ends. Only where that is unset and all runs in one process, as in tests, a local folder; on a cluster an error is raised."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="plumbline-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="plumbline-")
     path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -35,13 +42,13 @@ def _peel(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = known.select(F.col("node").alias("dst"))
     left = written(edges.select("src", "dst").distinct().join(ends, "dst", "left_semi").join(known.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst"))
     starts = lambda e: e.select(F.col("src").alias("node")).distinct()
-    free = known.join(starts(left), "node", "left_anti")
-    out, level, size = free.withColumn("level", F.lit(0)), 0, left.count()
+    free = written(known.join(starts(left), "node", "left_anti").withColumn("level", F.lit(0)))
+    out, level, size = free, 0, left.count()
     while size:
         level += 1
         rest = written(left.join(free.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
-        free = starts(left).join(starts(rest), "node", "left_anti")
-        out = out.unionByName(free.withColumn("level", F.lit(level)))
+        free = written(starts(left).join(starts(rest), "node", "left_anti").withColumn("level", F.lit(level)))
+        out = out.unionByName(free)
         before, size, left = size, rest.count(), rest
         if size == before:
             break

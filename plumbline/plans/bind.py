@@ -74,7 +74,7 @@ ROLES: dict[str, str] = {
     "project_modules": "select concat('r', cast(n_regionkey as string)) as project, concat('n', cast(n_nationkey as string)) as module, concat('src/n', cast(n_nationkey as string), '.rs') as source_path from {nation} where n_nationkey <> 11",
     "explicit_public": "select concat('r', cast(n_regionkey as string)) as project, concat('n', cast(n_nationkey as string)) as value from {nation} where n_nationkey % 2 = 0 and n_regionkey < 2",
     "public_members": "select concat('r', cast(n_regionkey as string)) as project, concat('src/n', cast(n_nationkey as string), '.rs') as value from {nation} where n_nationkey % 3 = 0 and n_regionkey < 3",
-    "cross_refs": """select concat('n', cast(p.a as string)) as module, case when p.b % 9 = 8 then concat('n', cast(p.b as string)) else concat('r', cast(n.n_regionkey as string), '::src/n', cast(p.b as string), '.rs') end as value
+    "cross_refs": """select concat('n', cast(p.a as string)) as module, case when p.b % 9 = 8 then concat('n', cast(p.b as string)) when p.b % 7 = 3 then concat('r', cast(n.n_regionkey as string), '::n', cast(p.b as string), '.f') when p.b % 7 = 5 then concat('r', cast(n.n_regionkey as string), '::other/n', cast(p.b as string), '.rs') else concat('r', cast(n.n_regionkey as string), '::src/n', cast(p.b as string), '.rs') end as value
         from {nation_pairs} p join {nation} n on n.n_nationkey = p.b""",
     # subsystems
     "members": "select concat('r', cast(n_regionkey as string)) as module, case when n_nationkey % 6 = 5 then concat('src/gone', cast(n_nationkey as string), '.rs') when n_nationkey % 2 = 0 then concat('n', cast(n_nationkey as string)) else concat('src/n', cast(n_nationkey as string), '.rs') end as value from {nation}",

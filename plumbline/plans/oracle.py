@@ -102,9 +102,10 @@ _sql("subsystem_leaks", "members member_deps member_external", f""", {_MEMBER} s
     from mem m join member_deps d on d.module = m.member where not exists (select 1 from mem o where o.subsystem = m.subsystem and o.member = {_p1('d.value')}) and not exists (select 1 from member_external x where x.module = m.member and contains(d.value, x.value))""")
 _sql("subsystem_forbidden", "members member_deps member_forbidden", f""", {_MEMBER} select m.subsystem as module, m.member as subject, 'error' as severity, 'subsystem-forbidden' as check_id, $$'$$ || m.member || $$' depends on '$$ || d.value || $$', forbidden by '$$ || f.value || $$'$$ as message
     from mem m join member_deps d on d.module = m.member join member_forbidden f on f.module = m.subsystem and (contains(d.value, f.value) or {_p1('d.value')} = f.value)""")
-_sql("boundaries", "cross_refs projects project_modules explicit_public public_members", f""", {_PUBLIC}, r as (select module, value, split_part(value, '::', 1) as tp, {_p1("substr(value, instr(value, '::') + 2)")} as tm from cross_refs where contains(value, '::')),
-    x as (select r.*, case when exists (select 1 from projects p where p.project = r.tp and p.errors > 0) then 'project-has-errors' when r.tp not in (select project from projects) then 'unknown-project'
-      when not exists (select 1 from project_modules m where m.project = r.tp and m.module = r.tm) then 'unknown-module' when not exists (select 1 from pub where pub.project = r.tp and pub.module = r.tm and is_public) then 'private-module' end as step from r)
+_sql("boundaries", "cross_refs projects project_modules explicit_public public_members", f""", {_PUBLIC}, r as (select module, value, split_part(value, '::', 1) as tp, substr(value, instr(value, '::') + 2) as ref from cross_refs where contains(value, '::')),
+    keys as (select project, source_path as k, module as m from project_modules union select project, module, module from project_modules), q as (select r.*, coalesce(a.m, b.m) as tm from r left join keys a on a.project = r.tp and a.k = r.ref left join keys b on b.project = r.tp and b.k = split_part(r.ref, '.', 1)),
+    x as (select q.*, case when exists (select 1 from projects p where p.project = q.tp and p.errors > 0) then 'project-has-errors' when q.tp not in (select project from projects) then 'unknown-project'
+      when tm is null then 'unknown-module' when not exists (select 1 from pub where pub.project = q.tp and pub.module = q.tm and is_public) then 'private-module' end as step from q)
     select module, value as subject, 'error' as severity, step as check_id, $$'$$ || value || $$': $$ || step as message from x where step is not null""")
 
 _STATES = "st as (select module, value from protocol_items where field = 'states')"
@@ -210,5 +211,21 @@ ORACLE_SQL["type_parse"] = "select p_partkey, 'Map<' || p_type || ', fn(&mut ' |
 ORACLE_SQL["formula_logic"] = """with t as (select case when l_linenumber % 3 = 0 then null else l_quantity > 25 end as a, case when l_partkey % 4 = 0 then null else l_discount > 0.05 end as b from lineitem)
     select a, b, case when a is null then null when not a then false else b end as a_and_b, case when a is null then null when a then true else b end as a_or_b, not a as not_a, case when a is null then null when not a then true else b end as a_implies_b, count(*) as n from t group by all"""
 ORACLE_SQL["type_matches"] = "select p_partkey, true as m0, p_brand like 'Brand#1%' as m1, p_type = 'SMALL' and p_brand = 'Brand#2' as m2, false as m3 from part"
-ORACLE_SQL["bounds_sat"] = """with c as (select 'n' || s_nationkey as variable, case when s_suppkey % 2 = 0 then floor(s_acctbal)::bigint - 8000 end as lower, case when s_suppkey % 3 > 0 then floor(s_acctbal)::bigint + 2000 end as upper from supplier)
-    select variable, coalesce(max(lower) <= min(upper), true) as satisfiable from c group by variable"""
+_sql("bounds_sat", "bounds", "select variable, coalesce(max(lower) <= min(upper), true) as satisfiable from bounds group by variable")
+_sql("bounds_implied", "bounds wished_bounds", """, p as (select variable, max(lower) as low, min(upper) as high from bounds group by 1) select c.variable, coalesce(low > high, false) or ((c.lower is null or coalesce(low >= c.lower, false)) and (c.upper is null or coalesce(high <= c.upper, false))) as valid
+    from wished_bounds c left join p on p.variable = c.variable""")
+_SIDE = "select '{0}' as field, coalesce(a.module, b.module) as module, coalesce(a.value, b.value) as name, case when b.value is null then 'spec only' when a.value is null then 'source only' else 'both' end as side from (select distinct module, value from {1}) a full join (select distinct module, value from {2}) b on a.module = b.module and a.value = b.value"
+_sql("list_diff", "owns_state actual_state declared_events actual_events", _SIDE.format("state", "owns_state", "actual_state") + " union all " + _SIDE.format("event", "declared_events", "actual_events"))
+_HIT = "exists (select 1 from {0} d where d.module = i.module and contains(i.value, " + _p1("d.value") + "))"
+_sql("dependency_diff", "depends_on imports forbidden_deps", f"""select module, value, case when {_HIT.format('depends_on')} then 'used' when {_HIT.format('forbidden_deps')} then 'forbidden' else 'unknown' end as state from imports i
+    union all select d.module, d.value, 'unused' from depends_on d where not exists (select 1 from imports i where i.module = d.module and contains(i.value, {_p1('d.value')}))""")
+_sql("transition_marks", "transitions p_functions", "select module, pos, from_state, call, to_state, exists (select 1 from p_functions f where f.module = t.module and f.name = t.call) as exists from transitions t")
+_sql("apply_enrichment", "modules", """select module, case when spec_ordinal % 3 > 0 and spec_ordinal % 2 = 0 then 'application' else layer end as layer, case when spec_ordinal % 3 = 0 then 'old,' || context when spec_ordinal % 5 > 0 then context || ',new' else '' end as forbidden_deps from modules""")
+_sql("merge_refinement", "exposes", """select module, name, concat_ws(',', description, case when substr(name, 2)::int % 3 > 0 then 'a lock' end) as requires, signature || ',' || signature as ensures, case when substr(name, 2)::int % 3 > 0 and substr(name, 2)::int % 2 = 0 then name else '' end as modifies from exposes""")
+_sql("description_context", "described described_entities", """, i as (select module, description, unnest(['open: requires a path', 'close: ensures no loss', 'order is kept', 'openly: ensures nothing']) as invariant from described)
+    select i.module, i.invariant, concat_ws(chr(10), 'Module `' || i.module || '`: ' || i.description, '`' || e.name || '`: ' || e.description) as context from i left join described_entities e on e.module = i.module and e.description is not null and starts_with(i.invariant, e.name || ': ')""")
+_FILE_EDGES = """n as (select path, regexp_replace(split_part(path, '/', -1), '[.][^.]*$', '') as stem, split_part(path, '/', -2) as folder from crate_files),
+    names as (select name, max(path) as dst from (select stem as name, path from n union all select folder, path from n where stem = 'mod') q group by name),
+    uses as (select path as src, unnest(regexp_extract_all(text, 'crate::(\\w+)', 1)) as name from crate_files), e as (select distinct src, dst from uses join names using (name) where src <> dst)"""
+_sql("file_edges", "crate_files", f", {_FILE_EDGES} select src, dst from e")
+_sql("file_levels", "crate_files", f", {_FILE_EDGES}, w(node, level) as (select path, 0 from crate_files union select e.src, w.level + 1 from w join e on e.dst = w.node) select node, max(level)::int as level from w group by node")
