@@ -431,7 +431,7 @@ def test_forest_recall_at_many_documents():
     for _ in range(n):
         flip = rng.choice(neardup.BITS, neardup.RADIUS, replace=False)
         hits += any(not np.isin(p[:depth], flip).any() for p in perms)
-    assert hits / n >= 0.88
+    assert hits / n >= neardup.RECALL - 3 * math.sqrt(0.09 / n)
 
 
 @pytest.mark.parametrize("n", [1000, 200_000, 2_000_000, 8_000_000, 50_000_000])
@@ -452,6 +452,33 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.duplicates(df.limit(0)).count() == 0 and neardup.keep_one(df.limit(0)).count() == 0
 
 
+def test_crowded_nodes_are_cut_without_losing_links(spark):
+    rng = np.random.default_rng(4)
+
+    def near(base, n, flips):
+        out = np.repeat(base[None], n, 0)
+        for x in out:
+            x[rng.choice(neardup.BITS, rng.integers(0, flips), replace=False)] ^= 1
+        return out
+
+    base = rng.integers(0, 2, neardup.BITS).astype(np.uint8)
+    bits = np.concatenate([near(base, 120, 12), near(near(base, 1, 100)[0], 60, 40), near(base, 60, 110), rng.integers(0, 2, (160, neardup.BITS)).astype(np.uint8)])
+    bits = np.unique(bits, axis=0)
+    rows = [(i, bytes(np.packbits(b, bitorder="little"))) for i, b in enumerate(bits)]
+    sigs = cluster.written(spark.createDataFrame(rows, "i bigint, s binary"))
+    classes = lambda dense: {x.x: x.root for x in neardup.components_of(neardup.edges(sigs, dense=dense)).collect()}
+    whole = classes(10**6)
+    assert whole and classes(24) == whole
+
+
+def test_near_duplicates_of_string_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [("urn:b", text(1)), ("urn:a", text(1)), ("urn:c", text(2)), ("urn:c", text(3)), ("urn:c", text(1)), ("urn:d", text(3) + " end"), ("urn:d", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(tuple(x) for x in neardup.duplicates(df).collect()) == [("urn:b", "urn:a"), ("urn:c", "urn:a"), ("urn:d", "urn:c")]
+    assert sorted((x.doc_id, x.text or "") for x in neardup.keep_one(df).collect()) == sorted([("urn:a", text(1)), ("urn:c", text(2)), ("urn:c", text(3)), ("urn:d", "")])
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1100)]
