@@ -73,7 +73,7 @@ ORACLE_SQL = {
           select p * 2 + 1, 'HTTPS://WWW.' || regexp_replace(regexp_replace(url, '^https?://(www[.])?', ''), '#.*$', '') || '#seen', p + case when substr(d, 1, 1) = 'f' then -3 else 7 end, 0,
             case when substr(d, 1, 1) < '4' then 'W/"' || substr(d, 1, 16) || '"' when substr(d, 1, 1) < '6' then '"changed"' else '"' || substr(d, 1, 16) || '"' end, null, p from base),
         bare as (select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') as x from rec),
-        parts as (select *, regexp_replace(regexp_replace(lower(regexp_extract(x, '^[^/?]*', 0)), '^www[.]', ''), ':(80|443)$', '') as host, regexp_replace(regexp_extract(x, '^[^/?]*([^?]*)', 1), '/+$', '') as path,
+        parts as (select *, regexp_replace(regexp_replace(lower(regexp_extract(x, '^[^/?]*', 0)), '^www[.]', ''), case when regexp_matches(trim(url), '^(?i)https://') then ':443$' else ':80$' end, '') as host, regexp_replace(regexp_extract(x, '^[^/?]*([^?]*)', 1), '/+$', '') as path,
             array_to_string(list_sort(list_filter(string_split(regexp_extract(x, '[?](.*)$', 1), '&'), lambda q: q <> '' and not regexp_matches(q, '^(utm_.*|fbclid|gclid|ref)(=.*)?$'))), '&') as q from bare),
         keyed as (select *, host || path || case when q <> '' then '?' || q else '' end as u from parts),
         latest as (select *, last_value(case when resp = 1 then {'id': record_id, 'etag': etag, 'len': len, 'p': p} end ignore nulls) over (partition by u order by t, resp, record_id rows between unbounded preceding and 1 preceding) as s from keyed),

@@ -163,6 +163,27 @@ def test_revisits(spark):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_revisits_of_a_hot_url_with_string_ids_and_ports(spark):
+    """A third of all records are of one URL, over many ranges; ids are names."""
+    r = random.Random(6)
+    urls = ["http://hot.example/"] * 300 + [f"http://a.example/{r.randrange(40)}" for _ in range(500)] + ["http://b.example:443/x", "http://b.example:80/x", "https://b.example:443/x", "https://b.example:80/x", "b.example/x"] * 6
+    rows = [(f"urn:uuid:{i:04}", u, r.randrange(200), r.choice(["response", "revisit"]), {"etag": str(r.randrange(2))}) for i, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "record_id string, url string, ts bigint, kind string, headers map<string,string>").repartition(4)
+    key = lambda u: u.replace("http://b.example:80", "b.example").replace("https://b.example:443", "b.example").split("://")[-1].rstrip("/")
+    want = {}
+    for i, u, t, k, h in rows:
+        if k == "revisit":
+            earlier = [(t2, j, h2) for j, u2, t2, k2, h2 in rows if k2 == "response" and key(u2) == key(u) and t2 < t]
+            best = max(earlier, key=lambda x: x[:2]) if earlier else None
+            want[i] = (best and best[1], "no_response" if best is None else "resolved" if best[2] == h else "validator_mismatch")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert {x.record_id: (x.response_id, x.status) for x in warc.resolve_revisits(df).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 # --- 4
 
 
