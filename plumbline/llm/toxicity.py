@@ -1,8 +1,9 @@
 """Operator 4, toxicity by a weighted lexicon.
 
 Texts are folded code point by code point with one table: case, accents-free
-look-alikes from other alphabets, full-width forms and the digits and signs used in place of letters.
-Folding keeps positions, so word edges are judged on the original text. One
+look-alikes from other alphabets, full-width and mathematical forms and the digits and signs used in place of letters.
+Characters that show nothing (format characters, combining marks) are left out, and runs of white space count as one space.
+Word edges are judged on the original characters. One
 Aho-Corasick automaton holds the lexicon, whose entries were folded alike, and the
 exception phrases; it runs once over a sub-batch of joined texts. A match counts
 when it begins a word and, unless it is a stem, ends one, and lies in no exception
@@ -14,7 +15,7 @@ twice as many other ones: those with enough distinct contexts in the toxic sampl
 Its size is bounded by the sample, never by the corpus.
 
 Defined cases: a null, empty or wordless text scores 0 and isn't toxic. Repeated
-rows score alike. Labels that are null, or of documents that are not there, are passed over; without
+rows score alike. Of matches that begin at one place the heaviest counts. Labels that are null, or of documents that are not there, are passed over; without
 labels the built-in words alone are used. Columns other than doc_id, text and toxic aren't read.
 """
 
@@ -37,8 +38,8 @@ from plumbline.llm import cluster, kernel
 BUILT_IN = {w: 1.0 for w in ("idiot", "moron", "stupid", "pathetic", "worthless", "disgusting", "scum", "trash", "loser", "clown")}
 #: phrases in which a word of the lexicon is harmless
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash collection", "clown fish", "circus clown", "sore loser rule", "pond scum", "soap scum")
-#: weight for each hundred words from which a text is toxic
-LEAST_SCORE = 0.02
+#: weight for each hundred words from which a text is toxic: a word of weight 1 in 500 words
+LEAST_SCORE = 0.2
 
 _LOOKALIKES = {
     "a": "4@а@αΑАɑ", "b": "8ЬвВΒβ", "c": "сСϲ(", "d": "ԁ", "e": "3еЕεΕ€", "g": "9ɡ", "h": "НһΗ", "i": "1!|lіІιΙӏ¡ł", "j": "јЈ", "k": "кКκΚ", "m": "мМΜ",
@@ -51,7 +52,8 @@ _JOIN = 0x1F
 def fold_table() -> np.ndarray:
     """Code point -> folded code point. l, 1, i and the like become one letter, also in the lexicon."""
     out = np.arange(kernel.N_CODES, dtype=np.uint32)
-    for c in range(0x20, 0x10000):
+    # letters of the first two planes; beyond them nothing looks like one
+    for c in range(0x20, 0x20000):
         d = unicodedata.normalize("NFKD", chr(c))
         base = d[0].lower()
         # accents fall only within Latin, where they disguise; other letters keep theirs
@@ -64,6 +66,15 @@ def fold_table() -> np.ndarray:
     return out
 
 
+@cache
+def ignored() -> np.ndarray:
+    """Code points that show nothing of their own and part no word: format characters and combining marks."""
+    out = np.zeros(kernel.N_CODES, bool)
+    for c in (*range(0x20000), *range(0xE0000, 0xE0200)):
+        out[c] = unicodedata.category(chr(c)) in ("Cf", "Mn", "Me")
+    return out
+
+
 def _native(c: int) -> bool:
     """Accented letters of Latin-1 and Latin Extended-A are spelling, not disguise."""
     return 0xC0 <= c < 0x180
@@ -97,13 +108,20 @@ def score(arr: pa.Array, auto: ahocorasick.Automaton) -> tuple[np.ndarray, np.nd
     total = np.bincount(row, minlength=n) if len(a) else np.zeros(n, np.int64)
     hits, weight = np.zeros(n, np.int64), np.zeros(n)
     if len(auto) and len(cp):
-        # a separator, no letter of any entry, after each text
-        at = np.arange(len(cp)) + np.repeat(np.arange(n), np.diff(starts))
-        joined = np.full(len(cp) + n, _JOIN, np.uint32)
-        joined[at] = fold_table()[cp]
+        # without what is not seen, white space as one space, and a separator, no letter of any entry, after each text
+        own = np.repeat(np.arange(n), np.diff(starts))
+        space = kernel.is_space()[cp]
+        at = np.flatnonzero(~ignored()[cp])
+        again = np.zeros(len(at), bool)
+        again[1:] = space[at[1:]] & space[at[:-1]] & (own[at[1:]] == own[at[:-1]])
+        at = at[~again]
+        code = np.where(space[at], np.uint32(32), fold_table()[cp[at]])
+        place = np.arange(len(at)) + own[at]
+        joined = np.full(len(at) + n, _JOIN, np.uint32)
+        joined[place] = code
         alnum = np.zeros(len(joined) + 1, bool)
-        alnum[at] = kernel.is_alnum()[cp]
-        bounds = starts + np.arange(n + 1)
+        alnum[place] = kernel.is_alnum()[cp[at]]
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(own[at], minlength=n) + 1)))
         found, free = [], []
         for end, (size, word, stem, harmless) in auto.iter(joined.tobytes().decode("utf-32-le", "replace")):
             begin = end - size + 1
@@ -121,11 +139,15 @@ def score(arr: pa.Array, auto: ahocorasick.Automaton) -> tuple[np.ndarray, np.nd
             for begin, end, w in found:
                 if w > best.get(begin, (0, 0.0))[1]:
                     best[begin] = (end, w)
-            for begin, (end, w) in best.items():
-                if not any(x <= begin and end <= y for x, y in free):
-                    r = int(np.searchsorted(bounds, begin, side="right")) - 1
-                    hits[r] += 1
-                    weight[r] += w
+            begin = np.fromiter(best, np.int64, len(best))
+            end, w = (np.array([x[k] for x in best.values()]) for k in (0, 1))
+            # of the phrases that begin no later, how far the farthest reaches
+            phrases = np.array(sorted(free), np.int64).reshape(-1, 2)
+            reach = np.concatenate(([-1], np.maximum.accumulate(phrases[:, 1])))
+            bare = reach[np.searchsorted(phrases[:, 0], begin, side="right")] < end
+            r = np.searchsorted(bounds, begin[bare], side="right") - 1
+            hits = np.bincount(r, minlength=n)
+            weight = np.bincount(r, w[bare], minlength=n)
     with np.errstate(divide="ignore", invalid="ignore"):
         return total, hits, np.nan_to_num(100 * weight / total)
 
