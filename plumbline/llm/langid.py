@@ -44,9 +44,9 @@ class Filters:
 
 
 def _letters() -> np.ndarray:
-    """Lower-case code point of letters, 32 for all else; 16 bits, so that four pack into a word exactly within the BMP."""
+    """Lower-case code point of letters, 32 for all else, in 16 bits, so that four pack into a word. Letters beyond the BMP take places of its private area, which no letter of the BMP has and no two letters of one script share."""
     low = kernel.lower_codes()
-    return np.where(kernel.is_alpha(), low & 0xFFFF, 32).astype(np.uint64)
+    return np.where(kernel.is_alpha(), np.where(low > 0xFFFF, 0xE000 + low % 0x1900, low), 32).astype(np.uint64)
 
 
 _TABLE: list[np.ndarray] = []
