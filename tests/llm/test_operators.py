@@ -195,6 +195,43 @@ def test_toxic_words_disguises_and_exceptions(spark):
     assert toxicity.toxicity(docs_of(spark, [])).count() == 0
 
 
+def _brute_toxic(text, words, stems, exceptions):
+    """Words, matches and score, place by place."""
+    own = [c for c in text if not toxicity.ignored()[ord(c)]]
+    own = [c for i, c in enumerate(own) if not (c.isspace() and i and own[i - 1].isspace())]
+    folded = "".join(" " if c.isspace() else toxicity.fold(c) for c in own)
+    edge = lambda i: not (0 <= i < len(own) and own[i].isalnum())
+    at = lambda w: [i for i in range(len(folded)) if folded.startswith(toxicity.fold(w), i) and edge(i - 1)]
+    free = [(i, i + len(p)) for p in exceptions for i in at(p) if edge(i + len(p))]
+    best = {}
+    for table, whole in ((words, True), (stems, False)):
+        for w, weight in table.items():
+            for i in at(w):
+                if not whole or edge(i + len(w)):
+                    best[i] = max(best.get(i, (0, 0)), (weight, i + len(w)))
+    kept = [w for i, (w, end) in best.items() if not any(a <= i and end <= b for a, b in free)]
+    n = len(text.split())
+    return n, len(kept), 100 * sum(kept) / n if n else 0.0
+
+
+def test_toxicity_matches_brute_force():
+    words, stems, exceptions = {"bad": 1.0, "bad dog": 2.5, "idiot": 1.0}, {"scu": 0.5}, ("bad luck", "so bad", "scuba dive")
+    auto = toxicity.automaton(words, stems, exceptions)
+    r = random.Random(12)
+    parts = ["bad", "BAD", "b@d", "bаd", "𝐛𝐚𝐝", "b\u200bad", "ba\u0301d", "dog", "luck", "so", "idiot", "1d1ot", "scum", "scuba", "dive", " ", "  ", "\n", "\t ", ".", "-", "x", "é", "\u00ad", "日"]
+    texts = ["".join(r.choice(parts) + r.choice(["", " ", "  "]) for _ in range(r.randint(0, 25))) for _ in range(1500)] + ["", " "]
+    n, hits, score = toxicity.score(kernel.as_strings(pa.array(texts)), auto)
+    for k, t in enumerate(texts):
+        want = _brute_toxic(t, words, stems, exceptions)
+        assert (n[k], hits[k], pytest.approx(score[k])) == want, t
+
+
+def test_toxicity_of_long_texts_hidden_letters_and_length(spark):
+    rows = [(1, "trash can idiot " * 20_000, "en"), (2, "trash  \n can", "en"), (3, "an 𝗶𝗱𝗶𝗼𝘁 here", "en"), (4, "i\u200bdi\u2060ot", "en"), (5, "idiot " + "word " * 600, "en"), (6, "idiot " + "word " * 400, "en")]
+    got = {x.doc_id: (x.hits, x.toxic) for x in toxicity.toxicity(docs_of(spark, rows)).collect()}
+    assert got == {1: (20_000, True), 2: (0, False), 3: (1, True), 4: (1, True), 5: (1, False), 6: (1, True)}
+
+
 def test_lexicon_is_learned_and_copies_do_not_count():
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
@@ -229,11 +266,13 @@ def test_repetition_matches_brute_force(spark):
     for i, t in enumerate(texts):
         for n in quality.NGRAM_LIMITS:
             assert got[i][f"dup_{n}"] == pytest.approx(_covered(t, n)), (t, n)
-        lines, seen, dup = [x for x in t.split("\n") if x], set(), 0
+        lines, seen, again = [x for x in t.split("\n") if x], set(), []
         for x in lines:
-            dup += len(x) if x in seen else 0
+            again += [x] if x in seen else []
             seen.add(x)
-        assert got[i].dup_line_chars == pytest.approx(dup / sum(map(len, lines)) if lines else 0)
+        share = sum(map(len, again)) / sum(map(len, lines)) if lines else 0
+        assert got[i].dup_line_chars == pytest.approx(share) and got[i].dup_lines == pytest.approx(len(again) / len(lines) if lines else 0) and got[i].n_words == len(t.split())
+        assert got[i].keep == (share <= quality.LINE_CHAR_LIMIT and all(_covered(t, n) <= most for n, most in quality.NGRAM_LIMITS.items()))
 
 
 def test_repetition_odd_rows(spark):
@@ -285,6 +324,25 @@ def test_rates_meet_targets_of_skewed_sources(spark, shares, sharp):
     assert np.abs(mixed - targets * mixing.BUDGET * n.sum()).max() <= 1.01 * mixing.TOLERANCE * mixing.BUDGET * n.sum()
 
 
+def test_rates_are_the_closest_to_one(spark):
+    """No small move that keeps the domains' totals and the signs brings the rates closer to 1."""
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet((0.5, 0.3, 0.2), 300)
+    n = rng.integers(1, 90, 300).astype(float)
+    posts = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n bigint, p array<double>")
+    r = mixing.solve(posts, np.array([0.2, 0.5, 0.3]), 0.7).of(p)
+    cost = lambda x: float(n @ (x - 1) ** 2)
+    sums, free = (n[:, None] * p).T, r > 1e-6
+    assert (~free).any()
+    for _ in range(200):
+        move = np.where(free, rng.normal(size=300), np.abs(rng.normal(size=300)) * (rng.random(300) < 0.05))
+        # keep the totals by moving the free rates only
+        part = sums[:, free]
+        move[free] -= part.T @ np.linalg.solve(part @ part.T, sums @ move)
+        step = 1e-4 * min(1.0, float(r[free].min()) / np.abs(move).max())
+        assert cost(r + step * move) >= cost(r) - 1e-9 * cost(r)
+
+
 def test_targets_out_of_reach_are_reported(spark):
     p = [(10, [0.5, 0.4, 0.1]), (30, [0.6, 0.35, 0.05]), (0, [0.0, 0.0, 1.0])]  # no tokens of a row with as much as 0.2 of the last
     posts = spark.createDataFrame(p, "n bigint, p array<double>")
@@ -532,6 +590,31 @@ def test_language_accuracy_and_rejects(spark):
     assert langid.identify(unlabelled).first().keep is False and langid.keep_identified(unlabelled).count() == 0
 
 
+def test_shares_match_sets_of_n_grams():
+    """The filters' corrected shares against membership in exact sets."""
+    r = random.Random(17)
+    sample = [(lg, t) for _, t, lg in _languages(r)]
+    filters = langid.fit(sample)
+    counts = {lg: Counter() for lg in filters.languages}
+    for lg, t in sample:
+        counts[lg].update(langid.grams(kernel.as_strings(pa.array([t])))[0].tolist())
+    rate = {lg: {k: c / sum(own.values()) for k, c in own.items()} for lg, own in counts.items()}
+    own = {lg: {k for k, c in counts[lg].items() if c >= 3 and rate[lg][k] >= 0.25 * max(x.get(k, 0) for x in rate.values())} for lg in counts}
+    texts = [t + " " + u for (_, t), (_, u) in zip(sample, r.sample(sample, len(sample)), strict=True)]
+    total, shares = langid.shares(kernel.as_strings(pa.array(texts)), filters)
+    for k, t in enumerate(texts):
+        keys = langid.grams(kernel.as_strings(pa.array([t])))[0].tolist()
+        assert total[k] == len(keys)
+        for j, lg in enumerate(filters.languages):
+            assert abs(shares[k, j] - sum(x in own[lg] for x in keys) / len(keys)) < 0.01
+
+
+def test_letters_beyond_the_first_plane_are_told_apart():
+    gothic, bmp = "𐌰𐌱𐌲 𐌳𐌴𐌵", "".join(chr(ord(c) & 0xFFFF) for c in "𐌰𐌱𐌲") + " x"
+    keys = langid.grams(kernel.as_strings(pa.array([gothic])))[0].tolist()
+    assert len(set(keys)) == len(keys) > 3 and not set(keys) & set(langid.grams(kernel.as_strings(pa.array([bmp])))[0].tolist())
+
+
 def test_more_languages_than_a_word_has_bits(spark):
     r = random.Random(12)
     syllables = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(5)] for k in range(140)}
