@@ -300,6 +300,7 @@ def decode_udf(file: bytes):
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, tokens, offsets, n_tokens and round_trip, a row for each row of docs. Rows leave in batches of at most `SUB_BATCH` bytes of text, so that a worker holds no more tokens than that."""
     cluster.bounded_batches(docs.sparkSession)
+    docs = cluster.spread(docs)
     file = read_ranks(path)
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("tokens array<int>, offsets array<int>, n_tokens int, round_trip boolean")])
 

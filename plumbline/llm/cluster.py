@@ -67,6 +67,18 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+#: Bytes a core below which a table in fewer files than there are cores is dealt out anew.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it is a small table in so few files that most cores would have none of it, else as it is. No result depends on it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * SMALL:
+        return df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def arrow_column(run: Callable[[pa.Array], pa.Array], ddl: str):
     """Column function of one Arrow array. After each batch the worker gives memory back, since workers outlive their tasks."""
 

@@ -181,6 +181,7 @@ def identify_udf(filters: Filters, least_share: float = 0.35):
 def identify(docs: DataFrame, label: str = "lang", least_share: float = 0.35, **sample) -> DataFrame:
     """doc_id, lang_id, share, n_grams and keep, a row for each row of docs."""
     cluster.bounded_batches(docs.sparkSession)
+    docs = cluster.spread(docs)
     filters = fit(labelled_sample(docs, label, **sample))
     return docs.select("doc_id", identify_udf(filters, least_share)(F.col("text").cast("string")).alias("m")).select("doc_id", "m.*")
 
@@ -188,5 +189,6 @@ def identify(docs: DataFrame, label: str = "lang", least_share: float = 0.35, **
 def keep_identified(docs: DataFrame, label: str = "lang", least_share: float = 0.35, **sample) -> DataFrame:
     """The rows of docs in a language that the filters know, with the columns of docs."""
     cluster.bounded_batches(docs.sparkSession)
+    docs = cluster.spread(docs)
     filters = fit(labelled_sample(docs, label, **sample))
     return docs.where(identify_udf(filters, least_share)(docs["text"].cast("string"))["keep"])

@@ -238,6 +238,7 @@ def rate_column(p: Column, rates: Rates) -> Column:
 def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float, keep: list[Column], **sample) -> tuple[DataFrame, Rates]:
     """The columns to keep with tokens n and posteriors p of every row, written; rates."""
     cluster.bounded_batches(docs.sparkSession)
+    docs = cluster.spread(docs)
     model = fit(*labelled_sample(docs, labels, **sample))
     posts = docs.select(*keep, posterior_udf(model)(docs["text"].cast("string")).alias("__post"))
     posts = cluster.written(posts.select(*[c for c in posts.columns if c != "__post"], F.col("__post.n").alias("n"), F.col("__post.p").alias("p")))

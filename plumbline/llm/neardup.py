@@ -278,6 +278,7 @@ def components_of(found: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, radius: int, recall: float) -> tuple[DataFrame, DataFrame]:
     """doc_id i and signature s of every row that has both, written; and of each signature s the smallest doc_id first and that of its group, root."""
     cluster.bounded_batches(docs.sparkSession)
+    docs = cluster.spread(docs)
     sigs = cluster.written(docs.select(F.col("doc_id").alias("i"), signature_udf()(F.col("text").cast("string")).alias("s")).where("i is not null and s is not null"))
     same = sigs.groupBy("s").agg(F.min("i").alias("first"))
     # keys in the order of the smallest doc_id

@@ -126,10 +126,12 @@ def repetition_udf(limits: dict[int, float] = NGRAM_LIMITS, line_char_limit: flo
 def repetition(docs: DataFrame, **limits) -> DataFrame:
     """doc_id, the measures and `keep`, a row for each row of docs."""
     cluster.bounded_batches(docs.sparkSession)
+    docs = cluster.spread(docs)
     return docs.select("doc_id", repetition_udf(**limits)(F.col("text").cast("string")).alias("m")).select("doc_id", "m.*")
 
 
 def keep_unrepetitive(docs: DataFrame, **limits) -> DataFrame:
     """The rows of docs that pass every rule, with the columns of docs."""
     cluster.bounded_batches(docs.sparkSession)
+    docs = cluster.spread(docs)
     return docs.where(repetition_udf(**limits)(docs["text"].cast("string"))["keep"])

@@ -215,6 +215,7 @@ def score_udf(words: dict[str, float], stems: dict[str, float], least_score: flo
 def toxicity(docs: DataFrame, labels: DataFrame | None = None, least_score: float = LEAST_SCORE, **sample) -> DataFrame:
     """doc_id, n_words, hits, score and toxic, a row for each row of docs."""
     cluster.bounded_batches(docs.sparkSession)
+    docs = cluster.spread(docs)
     words, stems = lexicon(docs, labels, **sample)
     return docs.select("doc_id", score_udf(words, stems, least_score)(F.col("text").cast("string")).alias("m")).select("doc_id", "m.*")
 
