@@ -447,6 +447,24 @@ def test_op7_scores_the_documents(spark):
     assert queries.op7_lm_scoring(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+def test_lm_heavy_contexts_match_brute_force(spark):
+    r = random.Random(26)
+    corpus = [" ".join(r.choice("aaab") for _ in range(r.randint(0, 30))) for _ in range(12)] + ["z " * 20, "a a a", "b", None]
+    got = {x.doc_id: x for x in lm.score(docs_of(spark, [(i, t, "en") for i, t in enumerate(corpus)]), id_column="doc_id", shard_words=12, pass_bytes=200).collect()}
+    for i, t in enumerate(corpus):
+        n, p, c = _brute_score(t or "", corpus[:i] + corpus[i + 1 :])
+        assert (got[i].n_words, got[i].mean_context) == (n, c) and got[i].log_prob == pytest.approx(p, abs=1e-8)
+
+
+def test_lm_sends_each_place_to_one_bucket(spark, monkeypatch):
+    # the work grows as the words: with many buckets, each word is looked at in one
+    dealt = []
+    sums = lm._sums
+    monkeypatch.setattr(lm, "_sums", lambda df, *more: dealt.append(df.agg(F.sum("n")).first()[0]) or sums(df, *more))
+    lm.score(docs_of(spark, [(i, f"w{i % 7} x y w{i}", "en") for i in range(50)]), id_column="doc_id", shard_words=10).collect()
+    assert dealt == [200]
+
+
 def test_lm_empty(spark):
     texts = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
     none = docs_of(spark, [])
