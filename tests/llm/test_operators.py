@@ -465,6 +465,73 @@ def test_lm_sends_each_place_to_one_bucket(spark, monkeypatch):
     assert dealt == [200]
 
 
+def _walked(texts):
+    """Lengths of contexts and scores at the end of every text, and how many places and words the walk reads for that."""
+    ids = np.concatenate([np.concatenate(([0], t)) for t in texts] + [np.zeros(1)]).astype(np.uint32)
+    last, looks, words = np.cumsum([len(t) + 1 for t in texts]) - 1, 0, 0
+
+    def fetch(e, d, n):
+        nonlocal looks, words
+        looks, words = looks + len(e), words + len(e) * n
+        return lm._windows(ids, last[e] - d, n)
+
+    log_p = np.full(len(texts), -1.0)
+    length = lm._walk(fetch, np.zeros(len(texts), np.int64), 0, np.arange(len(texts)), np.zeros(len(texts), np.int64), None, log_p, 1.0)
+    return length, log_p, looks, words
+
+
+@pytest.mark.parametrize("step", [1, -1])
+def test_lm_looks_at_a_copy_a_few_times_however_many_others_leave_it(step):
+    base = np.arange(1, 1001)
+    lengths = np.arange(3, 903, 3)[::step]
+    length, log_p, looks, words = _walked([np.append(2000 + n, base[-n:]) for n in lengths])
+    assert (length == np.minimum(lengths, 897)).all()
+    # all go on alike, so every context is followed by the one word each time
+    for k in (0, 100):
+        p = math.exp(-1)
+        for d in range(1, lengths[k] + 1):
+            others = int((lengths >= d).sum()) - 1
+            p = (others + p) / (others + 1)
+        assert log_p[k] == pytest.approx(math.log(p), abs=1e-12)
+    assert looks < 30 * len(lengths) and words < 3 * lengths.sum()
+
+
+def test_lm_reads_no_further_where_only_own_text_is_left():
+    # places of one text that repeats a word, and the end of a short other text
+    n = 3000
+    ids = np.concatenate(([0], np.ones(n), [0], np.ones(5), [0])).astype(np.uint32)
+    last, words = np.append(np.arange(1, n + 1), n + 6), 0
+
+    def fetch(e, d, k):
+        nonlocal words
+        words += len(e) * k
+        return lm._windows(ids, last[e] - d, k)
+
+    text = np.append(np.zeros(n, np.int64), 1)
+    length = lm._walk(fetch, np.zeros(n + 1, np.int64), 0, text, np.zeros(n + 1, np.int64), None, np.full(n + 1, -1.0), 1.0)
+    assert (length == np.append(np.minimum(np.arange(1, n + 1), 5), 5)).all() and words < 100 * n
+
+
+@pytest.mark.parametrize("shard_words", [60, 10_000])
+def test_lm_scores_of_changed_copies_match_brute_force(spark, shard_words):
+    r = random.Random(36)
+    base = [r.choice("abcdefghijklmnopqrstuvw") for _ in range(50)]
+    corpus = ["a " * 30, "a a"]
+    for _ in range(10):
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(50)] = r.choice("abcxyz")
+        corpus.append(" ".join(w[r.choice([0, 0, 5, 20]) :] + (w[:30] if r.random() < 0.3 else [])))
+    df = docs_of(spark, [(i, t, "en") for i, t in enumerate(corpus)])
+    apart = {x.doc_id: x for x in lm.score(df, id_column="doc_id", shard_words=shard_words, pass_bytes=400).collect()}
+    whole = {x.doc_id: x for x in lm.score(df.where("doc_id % 3 = 0"), df, id_column="doc_id", shard_words=shard_words, pass_bytes=400).collect()}
+    assert len(apart) == len(corpus) and set(whole) == {i for i in apart if i % 3 == 0}
+    for got, others in ((apart, lambda i: corpus[:i] + corpus[i + 1 :]), (whole, lambda i: corpus)):
+        for i, x in got.items():
+            n, p, c = _brute_score(corpus[i], others(i))
+            assert (x.n_words, x.mean_context) == (n, c) and x.log_prob == pytest.approx(p, abs=1e-8)
+
+
 def test_lm_empty(spark):
     texts = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
     none = docs_of(spark, [])
