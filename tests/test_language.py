@@ -93,3 +93,24 @@ def test_type_constraints(spark):
     df = spark.createDataFrame(rows, f"module string, name string, kind string, type_info {t}, function_info {f}, formulas array<string>")
     assert sorted((x.subject, x.check_id) for x in formula.type_constraints(df).collect()) == [("T", "formula-error"), ("T", "formula-fails"), ("U", "type-unknown"), ("f", "formula-fails")]
     assert formula.evaluate(df.limit(0)).count() == 0
+
+
+def test_entities_alike_are_evaluated_once(spark, monkeypatch):
+    t, f = "struct<kind:string,fields:array<struct<name:string,type:string>>,variants:array<string>,trait_impls:array<string>,derives:array<string>,methods:array<string>>", "struct<params:array<struct<name:string,type:string>>,return_type:string>"
+    # names that the texts speak of, that mean something to a predicate, that no JSON text has as they are, and others
+    names = ["Vec", "u8", "x", "Result", "Option", "Self", "_", "", 'a"b', "a\nb", "é", formula.STAND_IN, *(f"T{i}" for i in range(40))]
+    info, one = ("struct", [("x", "Vec<u8>"), ("y", None)], None, ["Send"], [], ["get"]), ([("self", "&Self"), ("é", "u8")], None)
+    asked = ["equals(Self, Vec)", "equals(con(field(x)), Self)", "fallible(Self)", "has_field(Self, x)", "has_method(u8, get)", "equals(arg(Self, 0), u8)", "equals(domain(Self, 0), u8)", "matches(Self, 'T1_')", "not (send)", "equals(T7, Self)", "equals(return, u8)", "oops", "matches(field(x), 'Vec_')"]
+    rows = [(f"m{i}", n, kind, x, y, q) for i, (n, kind, x, y, q) in enumerate((n, kind, x, y, q) for n in names for kind, x, y in (("type", info, None), ("function", info, one), (None, None, one)) for q in (asked, asked[:7], [], None))]
+    df = spark.createDataFrame(rows, f"module string, name string, kind string, type_info {t}, function_info {f}, formulas array<string>")
+    want = []
+    for r in df.collect():
+        d = r.asDict(recursive=True)
+        c = formula.Context(r.name, d["type_info"], d["function_info"], r.kind != "type")
+        want += [(r.module, r.name, r.kind, q, *formula.outcome(q, c)) for q in r.formulas or []]
+    assert sorted(map(repr, map(tuple, formula.evaluate(df).collect()))) == sorted(map(repr, want))
+    calls = []
+    monkeypatch.setattr(formula, "outcome", lambda q, c: calls.append(q) or (True, None))
+    one = {"about": ['{"type_info":null,"function_info":null}'] * 1000, "formulas": ['["send","sync"]'] * 1000}
+    batch = formula.pa.RecordBatch.from_pydict({"module": ["m"] * 1000, "name": [f"N{i}" for i in range(1000)], "kind": ["type"] * 1000, **one})
+    assert formula._evaluated(batch, {}).num_rows == 2000 and len(calls) == 2

@@ -50,3 +50,10 @@ def test_entry_without_llm(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 80 and set(s) <= set(q) and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q"], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+@pytest.mark.parametrize("name", ["type_constraints", "formula_eval", "type_matches", "type_parse"])
+def test_small_tables_are_dealt_out(spark, name):
+    """A table in one file is evaluated on all cores."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {spark.sparkContext.defaultParallelism}, true" in plan
