@@ -170,9 +170,15 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
         seen = seen.unionByName(front)
 
 
+#: Edges up to which they go to every executor.
+FEW_EDGES = 200_000
+
+
 def dep_tree(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """path (names joined by ' > ') and depth of every way down from the roots, repeated subtrees in full; a way ends where it would come back to a node of its own. As many rows as there are ways, which in a graph with many shared subtrees is far more than nodes."""
+    """path (names joined by ' > ') and depth of every way down from the roots, repeated subtrees in full; a way ends where it would come back to a node of its own. As many rows as there are ways, which in a graph with many shared subtrees is far more than nodes. Ways are never sorted: of a join, only the edges are held."""
+    # most ways meet in few nodes, and all ways at one node would be sorted in one task
     e = written(edges.select("src", "dst").distinct())
+    e = F.broadcast(e) if e.count() <= FEW_EDGES else e.hint("shuffle_hash")
     out = front = written(roots.select("node", F.col("node").alias("path"), F.lit(0).alias("depth")))
     mark = F.lit(" > ")
     while True:

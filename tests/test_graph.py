@@ -79,3 +79,20 @@ def test_watch_rechecks_what_changes(spark, tmp_path):
     write([("c", "y.unwrap()", None)])
     changes.watch(spark, folder, check, sink, mark).awaitTermination(120)
     assert sorted((x.module, x.batch) for x in spark.read.parquet(sink).collect()) == [("a", 0), ("c", 1)]
+
+def test_ways_that_meet_in_one_node_are_not_sorted(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    edges = [(f"n{i}", "n0") for i in range(1, 8)] + [("n0", "z"), ("n5", "n6")]
+    nodes, plans = [f"n{i}" for i in range(8)], []
+
+    def ways(path):
+        yield " > ".join(path), len(path) - 1
+        for b in sorted({b for a, b in edges if a == path[-1] and b not in path}):
+            yield from ways([*path, b])
+
+    kept = graph.written
+    monkeypatch.setattr(graph, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    out = graph.dep_tree(*_graph(spark, edges, nodes))
+    assert sorted(map(tuple, out.collect())) == sorted(w for n in nodes for w in ways([n]))
+    joined = [p for p in plans if "Join" in p]
+    assert joined and all("ShuffledHashJoin" in p and "SortMergeJoin" not in p for p in joined)
