@@ -156,9 +156,24 @@ def cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         live = written(inside(live, known))
 
 
+def _doubled(e: DataFrame) -> DataFrame:
+    """start, node and distance of every pair of nodes with a way, in rounds that each double the length: a shortest way of more than n steps goes on, from a node exactly n away, by a shortest way of its own. So pairs are held against those known once for each doubling, not once for each step."""
+    seen = far = written(e.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("distance")))
+    length = 1
+    while not far.isEmpty():
+        near = seen.select(F.col("start").alias("mid"), "node", F.col("distance").alias("more"))
+        longer = far.select("start", F.col("node").alias("mid")).join(near, "mid").groupBy("start", "node").agg((F.min("more") + F.lit(length)).alias("distance"))
+        new = written(longer.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+        seen, length = seen.unionByName(new), length * 2
+        far = new.where(F.col("distance") == length)
+    return seen
+
+
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """start, node and distance of every node reached from the start nodes, without the start itself unless it is on a cycle. edges: src, dst; start: node."""
+    """start, node and distance of every node reached from the start nodes, without the start itself unless it is on a cycle. edges: src, dst; start: node. From some nodes only, ways grow step by step; from all, they double."""
     e = written(edges.select("src", "dst").distinct())
+    if e.join(start.select(F.col("node").alias("src")), "src", "left_anti").isEmpty():
+        return _doubled(e)
     seen = front = written(start.select(F.col("node").alias("start"), F.col("node").alias("src")).distinct().join(e, "src").select("start", F.col("dst").alias("node")).distinct().withColumn("distance", F.lit(1)))
     step = 1
     while True:

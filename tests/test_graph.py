@@ -96,3 +96,16 @@ def test_ways_that_meet_in_one_node_are_not_sorted(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == sorted(w for n in nodes for w in ways([n]))
     joined = [p for p in plans if "Join" in p]
     assert joined and all("ShuffledHashJoin" in p and "SortMergeJoin" not in p for p in joined)
+
+
+def test_closure_of_all_nodes_doubles(spark, monkeypatch):
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [("n40", "n20"), ("n3", "n30")]
+    rounds, kept = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: rounds.append(1) or kept(df))
+    e, n = _graph(spark, edges, [f"n{i}" for i in range(41)])
+    found = {(x.start, x.node): x.distance for x in graph.closure(e, n).collect()}
+    assert found == {(a, b): d for a in (f"n{i}" for i in range(41)) for b, d in _reach(edges, a).items()}
+    # log2 of the longest distance, not the distance
+    assert len(rounds) < 12
+    some = graph.closure(e, _graph(spark, [], ["n5", "n39", "other"])[1]).collect()
+    assert {(x.start, x.node): x.distance for x in some} == {k: d for k, d in found.items() if k[0] in ("n5", "n39")}
