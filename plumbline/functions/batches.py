@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 
 #: Bytes a core below which a table in fewer files than there are cores is dealt out anew.
 SMALL = 64 << 20
+#: Bytes of text that a worker holds as Python objects at once, or one text.
+PART = 1 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -6,9 +6,12 @@ import re
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions import batches as arrow
+
 _BRACE = re.compile("[{}]")
 SELF_CHECKS = ('.contains("', '.contains(&"', "lower.contains")
 
@@ -81,7 +84,13 @@ def strip_tests(c: Column) -> Column:
     """Text without the blocks under #[cfg(test)]; texts that have none are passed through."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else tests_stripped(t) for t in texts.to_pylist()], pa.string())
+        done = []
+        for i, j in arrow.parts(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), arrow.PART):
+            done.append(pa.array([None if t is None else tests_stripped(t) for t in texts.slice(i, j - i).to_pylist()], pa.string()))
+        out = pa.concat_arrays(done) if done else pa.array([], pa.string())
+        del done
+        arrow.release()
+        return out
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "string")(c)

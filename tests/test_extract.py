@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from plumbline.functions import paths, text
 from plumbline.sources import extract, flow9, rust, scan
@@ -154,3 +155,17 @@ def test_text_columns(spark):
     assert one("SOL", paths.extractor) == "solidity" and one("java", paths.extractor) is None
     assert one("hello", paths.source_hash) == "2cf24dba5fb0a30e"
     assert one("src/a/b.rs", lambda c: paths.excluded(c, ["**/b.*"])) and not one("src/a/b.rs", lambda c: paths.excluded(c, ["src/*.rs"])) and not one("x", lambda c: paths.excluded(c, []))
+
+
+def test_strip_tests_holds_few_texts_at_once(monkeypatch):
+    runs, freed = [], []
+    monkeypatch.setattr(scan.F, "arrow_udf", lambda run, ddl: runs.append(run) or (lambda c: c))
+    monkeypatch.setattr(scan.arrow, "release", lambda: freed.append(1))
+    monkeypatch.setattr(scan.arrow, "PART", 100)
+    scan.strip_tests(None)
+    texts = ["fn a() {}\n#[cfg(test)]\nmod t {\n}\nx" * (k % 4) or None for k in range(50)] + ["y" * 500, ""]
+    want = [None if t is None else scan.tests_stripped(t) for t in texts]
+    assert runs[0](pa.array(texts)).to_pylist() == want and freed
+    assert runs[0](pa.array(texts).slice(7, 9)).to_pylist() == want[7:16] and runs[0](pa.array([], pa.string())).to_pylist() == []
+    cuts = list(scan.arrow.parts([60, 60, 30, 500, 0, 100, 1], 100))
+    assert cuts == [(0, 1), (1, 3), (3, 4), (4, 6), (6, 7)] and list(scan.arrow.parts([], 100)) == []
