@@ -169,3 +169,17 @@ def test_strip_tests_holds_few_texts_at_once(monkeypatch):
     assert runs[0](pa.array(texts).slice(7, 9)).to_pylist() == want[7:16] and runs[0](pa.array([], pa.string())).to_pylist() == []
     cuts = list(scan.arrow.parts([60, 60, 30, 500, 0, 100, 1], 100))
     assert cuts == [(0, 1), (1, 3), (3, 4), (4, 6), (6, 7)] and list(scan.arrow.parts([], 100)) == []
+
+
+def test_facts_come_in_bounded_batches():
+    class Sources:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, ddl):
+            return run
+
+    files = pa.RecordBatch.from_pydict({"path": [f"p{k}" for k in range(1000)] + ["empty"], "text": [f"pub fn f{k}() {{}}" for k in range(1000)] + [None]}, pa.schema({"path": pa.string(), "text": pa.string()}))
+    found = list(extract.facts(Sources(), "rust")(iter([files])))
+    assert max(len(set(b["path"].to_pylist())) for b in found) <= 200
+    assert {r["path"] for b in found for r in b.to_pylist() if r["field"] == "public_functions"} == {f"p{k}" for k in range(1000)}
